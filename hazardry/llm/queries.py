@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardry.llm import exact, lines, quality
+from hazardry.llm import exact, lines, near, packing, quality
 from hazardry.llm.common import LOWER, SPACE_CLASS, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return near.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -90,6 +102,8 @@ FROM d
 def queries() -> dict[str, Query]:
     """The queries by name."""
     return {
+        "op5_packing": op5_packing,
+        "op6_near_dedup": op6_near_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_exact_dedup": op10_exact_dedup,
