@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hazardry.llm import exact, lines, near, packing, quality
 from hazardry.llm.common import LOWER, SPACE_CLASS, UPPER, table
 
@@ -102,6 +103,7 @@ FROM d
 def queries() -> dict[str, Query]:
     """The queries by name."""
     return {
+        "pipeline": corpus_pipeline.run,
         "op5_packing": op5_packing,
         "op6_near_dedup": op6_near_dedup,
         "op8_quality_rules": op8_quality_rules,
@@ -112,4 +114,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express."""
-    return {"op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    found = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return found | {"op8_quality_rules": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
