@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,40 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once for a row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts, with the place of the first, of a bounded number of characters (a longer text is a run of its own)."""
+    at, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > at and size + len(text) > most:
+            yield at, texts[at:k]
+            at, size = k, 0
+        size += len(text)
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+class TwoGenerations:
+    """A bounded cache of what many keys map to.
+
+    When the young generation is full it becomes the old one, and keys found there move back: frequent keys stay,
+    rare ones go.
+    """
+
+    def __init__(self, make: Callable[[list], list], most: int = 400_000):
+        self.make, self.most = make, most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def of(self, keys: set) -> dict:
+        """A mapping that has all the keys."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = keys - young.keys()
+        for key in missing & old.keys():
+            young[key] = old[key]
+        if missing := list(missing - young.keys()):
+            young.update(zip(missing, self.make(missing), strict=True))
+        return young

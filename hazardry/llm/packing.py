@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardry.llm.common import materialise
+from hazardry.llm.common import TwoGenerations, blocks, materialise
 
 WINDOW = 4096
-CACHED_WORDS = 400_000
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
@@ -39,35 +38,27 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space, word by word with a cache.
 
     No token of such a vocabulary spans a blank or a line end, so a text's ids are those of its blank-separated
-    words, one after the other. The cache has two generations: when the young one is full it becomes the
-    old one, and words found there move back, so frequent words stay and memory is bounded.
+    words, one after the other.
     """
 
-    def __init__(self, path: str, most: int = CACHED_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.most = most
+        self.words = TwoGenerations(self.encode)
+
+    def encode(self, found: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(found), 4096):
+            encoded = self.tokenizer.encode_batch_fast(found[at : at + 4096], add_special_tokens=False)
+            out += [array("I", x.ids).tobytes() for x in encoded]
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        young[""] = b""
-        missing = {word for row in split for word in row} - young.keys()
-        for word in missing & old.keys():
-            young[word] = old[word]
-        missing = list(missing - young.keys())
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[word] = array("I", found.ids).tobytes()
-        get = young.__getitem__
+        get = self.words.of({word for row in split for word in row}).__getitem__
         return [b"".join(map(get, row)) for row in split]
 
 
@@ -81,18 +72,6 @@ def encoder_of(path: str) -> WordTokenizer:
     return _ENCODERS[path]
 
 
-def _blocks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts with a bounded number of characters (a longer single text is a run of its own)."""
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        if k > at and size + len(text) > most:
-            yield at, texts[at:k]
-            at, size = k, 0
-        size += len(text)
-    if at < len(texts):
-        yield at, texts[at:]
-
-
 def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = WINDOW) -> DataFrame:
     """Tokenise and cut: id, start, length, ids_crc32, doc_tokens, and the task and the rank within it."""
     rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_hz_t"))
@@ -107,7 +86,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         encoder, part, seen = encoder_of(vocabulary), TaskContext.get().partitionId(), Counter()
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at, texts in _blocks(batch.column(1).to_pylist()):
+            for at, texts in blocks(batch.column(1).to_pylist()):
                 took, cols = [], [[], [], [], [], []]
                 for k, ids in enumerate(encoder.ids(texts)):
                     ids = memoryview(ids + end)

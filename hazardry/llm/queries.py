@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hazardry.llm import exact, lines, near, packing, quality
+from hazardry.llm import bpe, exact, lines, near, packing, quality
 from hazardry.llm.common import LOWER, SPACE_CLASS, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and decoded again."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents."""
     return near.near_groups(table(spark, sf_dir, "documents"))
@@ -104,6 +113,7 @@ def queries() -> dict[str, Query]:
     """The queries by name."""
     return {
         "pipeline": corpus_pipeline.run,
+        "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,
         "op6_near_dedup": op6_near_dedup,
         "op8_quality_rules": op8_quality_rules,
