@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hazardry.llm import bpe, exact, lines, near, packing, quality
+from hazardry.llm import bpe, exact, lines, mixing, near, packing, quality
 from hazardry.llm.common import LOWER, SPACE_CLASS, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context mixing and unigram scores of all documents."""
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and decoded again."""
     import public_tokenizers
@@ -113,6 +118,7 @@ def queries() -> dict[str, Query]:
     """The queries by name."""
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_lm_scoring": op1_lm_scoring,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,
         "op6_near_dedup": op6_near_dedup,
