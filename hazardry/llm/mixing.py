@@ -142,15 +142,18 @@ def coded_pairs(counts: np.ndarray) -> np.ndarray:
     return (code(kept[:, 0]) * 16 + code(kept[:, 1])).astype(np.uint8)
 
 
-def without_own() -> np.ndarray:
-    """[pair, bit] -> the pair when one such bit less had been seen."""
-    pair = np.arange(256)
-    zeros, ones = pair >> 4, pair & 15
-    less = lambda x: np.where((x > 0) & (LEVELS[x] <= 4), x - 1, x)  # noqa: E731  beyond 4 one less doesn't show
-    return np.stack([less(zeros) * 16 + ones, zeros * 16 + less(ones)], axis=1)
+#: How many counts share each level.
+_WIDTH = np.diff(np.r_[LEVELS, 1 << 40])
 
 
-_WITHOUT = without_own()
+def without_own(pairs: np.ndarray, bit: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """The pairs as if the site's own bit had not been counted.
+
+    A level stands for several counts, one less of which falls below it in one case of as many; `chance`, a hash of the site, decides.
+    """
+    own = np.where(bit[None, :] == 1, pairs & 15, pairs >> 4)
+    falls = (own > 0) & (chance[None, :] % _WIDTH[own] == 0)
+    return pairs - falls * np.where(bit[None, :] == 1, 1, 16)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -168,8 +171,8 @@ class Model:
 
     def pairs(self, sites: Sites, node: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """The coded pairs [order, site]; with bits given, without the site's own occurrence."""
-        found = np.stack([self.table[slots_of(sites, k, node)] for k in range(ORDERS)])
-        return found if bit is None else _WITHOUT[found, bit[None, :]]
+        found = np.stack([self.table[slots_of(sites, k, node)] for k in range(ORDERS)]).astype(np.int64)
+        return found if bit is None else without_own(found, bit, (((sites.grams * _K2) ^ sites.words) * _K1 >> np.uint64(24)).astype(np.int64))
 
     def inputs(self, pairs: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
         """Mixer inputs [order and bias, site] and the gate of each site."""
