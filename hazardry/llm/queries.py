@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hazardry.llm import bpe, exact, lines, mixing, near, packing, quality
+from hazardry.llm import bpe, chat, exact, lines, mixing, near, packing, quality, urls, warc
 from hazardry.llm.common import LOWER, SPACE_CLASS, UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,34 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, row by row, and one more in the layout of messages whose texts are control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("record"))
+    said = "</s>[INST] ok [/INST]"
+    more = json.dumps({"conv_id": -7, "messages": [{"role": role, "content": said} for role in ("user", "assistant")]})
+    rows = rows.unionByName(spark.createDataFrame([(-7, more)], "conv_id long, record string"))
+    return chat.digests(chat.format_turns(chat.canonical_turns(rows))).withColumnRenamed("id", "conv_id")
+
+
+#: The rules of the query over pages.
+PAGE_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"), PAGE_RULES, urls.model())
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    found = warc.round_trip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("long")
+    return found.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("record_type") == "revisit", number("refers_to")).alias("refers_to"),
+    )
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and decoded again."""
     import public_tokenizers
@@ -119,9 +148,12 @@ def queries() -> dict[str, Query]:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_chat_formatting": op2_chat_formatting,
+        "op3_url_filter": op3_url_filter,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_packing": op5_packing,
         "op6_near_dedup": op6_near_dedup,
+        "op7_warc": op7_warc,
         "op8_quality_rules": op8_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_exact_dedup": op10_exact_dedup,
