@@ -67,8 +67,9 @@ class WordHashes:
         if len(self.cache) > self.most:
             self.cache = {}
         cache = self.cache
-        for word in set(found) - cache.keys():
-            cache[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        for word in set(found):
+            if word not in cache:
+                cache[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
 
 
