@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from hazardry.llm.common import TwoGenerations, blocks
 
 LONG_PIECE = 512
-STEP_BYTES = 400_000
+STEP_BYTES = 250_000
+BLOCK = 1_000_000
 
 CONTRACT = """
 WITH RECURSIVE state(w, p, t, q, u, done) AS (
@@ -77,19 +78,22 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '500MB'")
+        self.db.execute("SET memory_limit = '300MB'")
         pairs = [
             (left, right, rank)
             for token, rank in self.ranks.items()
             for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         ]
-        self.merges = {(left, right): rank for left, right, rank in pairs}
+        # for the heap: (left << 20 | right) of each pair in order, and its rank
+        keys = np.array([left << 20 | right for left, right, _ in pairs], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array([rank for *_, rank in pairs], np.int64)[order]
         columns = [pa.array(column, pa.int32()) for column in zip(*pairs, strict=True)] if pairs else [pa.array([], pa.int32())] * 3
         self._table("merges", pa.table(columns, names=["l", "r", "id"]))
         self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "h": [x.hex() for x in self.ranks]}))
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        self.pieces = TwoGenerations(self.encode_pieces)
+        self.pieces = TwoGenerations(self.encode_pieces, 300_000)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -138,6 +142,12 @@ class Codec:
         for n, (k, _) in enumerate(waiting):
             out[k] = ids[cut[n] : cut[n + 1]].tobytes()
 
+    def rank_of(self, left: int, right: int) -> int | None:
+        """The rank of a pair of tokens, if its bytes are a token."""
+        key = left << 20 | right
+        at = int(np.searchsorted(self.pair_keys, key))
+        return int(self.pair_ranks[at]) if at < len(self.pair_keys) and self.pair_keys[at] == key else None
+
     def contract_long(self, raw: bytes) -> bytes:
         """The same contraction for one long piece: leftmost minimum-rank pair first, from a heap."""
         token = [int(self.single[x]) for x in raw]
@@ -146,7 +156,7 @@ class Codec:
         heap: list[tuple[int, int, int, int]] = []
 
         def push(k: int) -> None:
-            if k >= 0 and after[k] < len(token) and (rank := self.merges.get((token[k], token[after[k]]))) is not None:
+            if k >= 0 and after[k] < len(token) and (rank := self.rank_of(token[k], token[after[k]])) is not None:
                 heapq.heappush(heap, (rank, k, token[k], token[after[k]]))
 
         for k in range(len(token)):
@@ -201,7 +211,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, pattern)
         for batch in batches:
-            for at, texts in blocks(batch.column(1).to_pylist()):
+            for at, texts in blocks(batch.column(1).to_pylist(), BLOCK):
                 ids = codec.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -219,8 +229,26 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, pattern)
         for batch in batches:
-            for at, rows in blocks(batch.column(place).to_pylist(), 8_000_000):
+            for at, rows in blocks(batch.column(place).to_pylist(), 2 * BLOCK):
                 part = batch.slice(at, len(rows))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(rows), pa.binary())], names=names)
 
     return df.mapInArrow(run, f"{fields}, decoded binary")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one Python worker: id, n_tokens, ids, decoded."""
+    rows = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_hz_t"))
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(path, pattern)
+        for batch in batches:
+            for at, texts in blocks(batch.column(1).to_pylist(), BLOCK):
+                ids = codec.encode(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(codec.decode(ids), pa.binary())],
+                    names=[id_col, "n_tokens", "ids", "decoded"],
+                )
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
