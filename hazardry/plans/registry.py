@@ -32,3 +32,11 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express."""
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    from hazardry.plans import queries_scoring  # noqa: F401
+
+
+_load()
