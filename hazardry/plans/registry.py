@@ -36,7 +36,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from hazardry.plans import queries_functions, queries_scoring  # noqa: F401
+    from hazardry.plans import queries_evaluation, queries_functions, queries_scoring  # noqa: F401
 
 
 _load()
