@@ -46,10 +46,10 @@ def zipped(a: DataFrame, b: DataFrame, ordinal: str = "ord") -> DataFrame:
     return a.select(ordinal, F.col("text").alias("text_a")).join(b.select(ordinal, F.col("text").alias("text_b")), ordinal)
 
 
-def running(rows: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
+def running(rows: DataFrame, value: str, by: list[str], order: list[str], digits: int = 4) -> DataFrame:
     """Running mean and running minimum of a log."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumns({"running_mean": F.round(F.avg(value).over(w), 4), "running_min": F.min(value).over(w)})
+    return rows.withColumns({"running_mean": F.round(F.avg(value).over(w), digits), "running_min": F.min(value).over(w)})
 
 
 def early_stop(rows: DataFrame, value: str, by: list[str], order: str, patience: int = 3, threshold: float = 0.0) -> DataFrame:

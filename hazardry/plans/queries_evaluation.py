@@ -298,11 +298,11 @@ def label_agreement(spark, sf_dir):
 
 @query(
     "running_stats",
-    "SELECT user_id, event_id, round(avg(value) OVER w, 4) AS running_mean, min(value) OVER w AS running_min FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
+    "SELECT user_id, event_id, round(avg(value) OVER w, 8) AS running_mean, min(value) OVER w AS running_min FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
 )
 def running_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return quality.running(rows, "value", ["user_id"], ["event_id"]).select("user_id", "event_id", "running_mean", "running_min")
+    return quality.running(rows, "value", ["user_id"], ["event_id"], digits=8).select("user_id", "event_id", "running_mean", "running_min")
 
 
 @query("early_stops")

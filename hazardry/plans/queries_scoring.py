@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hazardry.operators import analytics, scoring
 from hazardry.plans.adapters import NESTED_RULE, SCORED_SQL, micros, nested_orders, scored_orders, table
 from hazardry.plans.registry import query
+from hazardry.streaming import bursts
 
 _COLUMNS = "sample_token, scene_token, timestamp, scene_description, num_annotations, sig_proximity, sig_occlusion, sig_density, sig_weather, sig_vru, sig_cyclist, rarity_score"
 _SIGNALS = [f"'{s}', {s}" for s in scoring.SIGNALS]
@@ -162,3 +163,13 @@ def temporal_bursts(spark, sf_dir):
 )
 def burst_summary(spark, sf_dir):
     return analytics.burst_summary(analytics.temporal_bursts(_errors(spark, sf_dir), gap=_GAP))
+
+
+@query(
+    "session_bursts",
+    _BURSTS + "SELECT scene_token, count(*) AS frames, min(timestamp) AS start_us, max(timestamp) AS end_us FROM bursts GROUP BY scene_token, burst_id",
+)
+def session_bursts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("scene_token"), "ts")
+    found = bursts.session_bursts(rows, "scene_token", "ts", "6 hours")
+    return found.select("scene_token", "frames", micros(F.col("start")).alias("start_us"), micros(F.col("end")).alias("end_us"))
