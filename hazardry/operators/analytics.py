@@ -69,7 +69,7 @@ def burst_summary(bursts: DataFrame, scene: str = "scene_token", time: str = "ti
 
 def export_summary(scored: DataFrame, min_score: int = 3) -> DataFrame:
     """Totals and the share that passes, one row."""
-    rare = F.sum(F.when(F.col("rarity_score") >= min_score, 1).otherwise(0))
+    rare = F.count(F.when(F.col("rarity_score") >= min_score, 1))
     return scored.agg(
         F.count(F.lit(1)).alias("total_frames"), rare.alias("filtered_frames"), F.round(rare / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 1).alias("filter_rate_pct")
     )
