@@ -2,14 +2,14 @@
 
 1. Equal word sequences are one class, known by a 128-bit digest; only class representatives go on.
 2. A text's shingles are its windows of five words, labelled by occurrence, so that repeats count. A sketch
-   takes, under one random order, the three smallest shingles and keeps them in the order of the text;
-   two texts share a sketch with about the third power of their similarity, and only if the order agrees.
-   Sixteen sketches miss a pair at 0.8 about once in 10^5.
-3. Texts that share a sketch are compared with a leader of their bucket, never all with all: first the smallest id, then random
-   members, for as long as a round finds links; only texts of other components than the leader's take part.
-   Bucket members that still lie in different components after that are then compared with each other, so the leaders are a way
-   to save work, not a cap. Compared means aligned: the longest common subsequence of the shingle sequences in the band
-   that a similarity of 0.8 allows, bit-parallel; similarity is common / (a + b - common).
+   takes, under one random order, the four smallest shingles and keeps them in the order of the text;
+   two texts share a sketch with about the fourth power of their similarity, and only if the order agrees.
+   Twenty sketches miss a pair at 0.8 about once in 40,000. Texts whose numbers of shingles differ by more than a factor of 1/0.8 can't
+   be similar: a bucket is a sketch and a class of lengths, and a text is in its own class and the next.
+3. Texts of a bucket are compared with its leader, the smallest id; where a bucket's texts still lie in different components,
+   those of other components are compared with a random leader; what lies apart even then is compared directly, so
+   leaders save work but lose nothing. No pair is compared twice. Compared means aligned: the longest common subsequence of the
+   shingle sequences in the band that a similarity of 0.8 allows, bit-parallel; similarity is common / (a + b - common).
 4. Components of the links by alternating large-star and small-star steps, all of it distributed.
 
 Buckets, classes and hub nodes may hold any share of the rows: they are combined before shuffles, and met by joins
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from hazardry.llm.common import LOWER, UPPER, materialise
 
-SHINGLE, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 16, 3
+SHINGLE, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 20, 4
 _TABLE = str.maketrans(UPPER + "\t\n\x0b\x0c\r", LOWER + 5 * " ")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -163,22 +163,23 @@ def similarity_at_least(a: list[str], b: list[str], least: float = SIMILARITY) -
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest of the words, sketches) for each row with an id."""
+    """(id, digest of the words, number of shingles, sketches) for each row with an id."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, found = [], []
+            keys, counts, found = [], [], []
             for value in batch.column(1):
                 row = tokens(value.as_py())
                 keys.append(hashlib.blake2b(" ".join(row).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                counts.append(max(len(row) - SHINGLE + 1, min(len(row), 1)))
                 found.append(sketches(hashes(row)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "sketches"]
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "shingles", "sketches"]
             )
 
-    return rows.mapInArrow(run, "id long, key binary, sketches array<long>")
+    return rows.mapInArrow(run, "id long, key binary, shingles long, sketches array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,65 +205,66 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = materialise(edges, "edges")
     while True:
-        # large-star: every larger neighbour of u, and u itself, meets u's smallest neighbour (or u)
+        # large-star: every larger neighbour of u meets u's smallest neighbour (or u)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "large-star")
         # small-star: u and its smaller neighbours meet the smallest of them
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = materialise(small, "small-star")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")), "least")
+        moved = large.join(least.filter("k > 1"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small-star")
         # stars already: every id has one smaller neighbour, which has none itself
-        done = small.groupBy("u").count().filter("count > 1").limit(1).isEmpty() and small.join(small.select(F.col("u").alias("v")), "v", "left_semi").limit(1).isEmpty()
-        if done:
-            return small.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-                small.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
+        tops = least.select(F.col("m").alias("u")).distinct()
+        if least.filter("k > 1").limit(1).isEmpty() and least.join(tops, "u", "left_semi").limit(1).isEmpty():
+            return small.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tops.select(F.col("u").alias("id"), F.col("u").alias("component")))
         edges = small
 
 
+def bucketed(classes: DataFrame) -> DataFrame:
+    """(bucket, id): a bucket is a sketch and a length class; each text is in its class and the next."""
+    length = F.floor(F.log("shingles") / F.lit(-float(np.log(SIMILARITY)))).cast("int")
+    rows = classes.filter("shingles > 0").select(F.col("rep").alias("id"), length.alias("c"), F.posexplode("sketches").alias("band", "sketch"))
+    both = F.explode(F.array(F.xxhash64("band", "sketch", "c"), F.xxhash64("band", "sketch", F.col("c") + 1)))
+    return rows.select("id", both.alias("bucket"))
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, class_id (the smallest id of its group), kept (whether it is that one)."""
     rows = materialise(sketched(df, id_col, text_col), "sketches")
-    classes = materialise(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi").dropDuplicates(["id"])
-    bands = reps.select("id", F.posexplode("sketches").alias("band", "sketch"))
-    crowded = bands.groupBy("band", "sketch").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    crowded = materialise(crowded, "buckets")
-    members = materialise(bands.join(crowded, ["band", "sketch"]).select("band", "sketch", "leader", "id"), "bucket-members")
+    classes = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches"))
+    classes = materialise(classes, "classes")
+    placed = bucketed(classes)
+    crowded = placed.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = materialise(placed.join(materialise(crowded, "buckets"), "bucket"), "bucket-members")
     named = members.select("id").distinct()
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = materialise(texts, "bucket-texts")
 
-    pairs = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(verified(pairs, texts), "links")
+    def ordered(a, b, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+
+    tried = materialise(ordered(F.col("leader"), F.col("id"), members), "pairs")
+    links = materialise(verified(tried, texts), "links")
     found = materialise(components(links), "components")
-    turn = 0
-    while True:
-        turn += 1
-        labelled = members.join(found, "id", "left").select("band", "sketch", "id", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("band", "sketch").agg(
-            F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("l")
-        )
-        mixed = materialise(mixed.filter("c0 <> c1").select("band", "sketch", F.col("l.id").alias("a"), F.col("l.c").alias("ca")), "open-buckets")
-        if mixed.limit(1).isEmpty():
-            break
-        open_members = materialise(labelled.join(mixed, ["band", "sketch"]), "open-members")
-        more = materialise(verified(open_members.filter("c <> ca").select("a", F.col("id").alias("b")).distinct(), texts), "links")
-        if more.limit(1).isEmpty():
-            # no leader finds more: what still lies apart in one bucket is compared directly, once for each pair
-            left = open_members.select("band", "sketch", F.col("id").alias("a"), F.col("c").alias("cl"))
-            right = open_members.select("band", "sketch", F.col("id").alias("b"), F.col("c").alias("cr"))
-            rest = left.join(right, ["band", "sketch"]).filter("a < b AND cl <> cr").select("a", "b").distinct()
-            more = materialise(verified(rest, texts), "links")
-            if not more.limit(1).isEmpty():
-                links = links.unionByName(more)
-                found = materialise(components(links), "components")
-            break
-        links = links.unionByName(more)
-        found = materialise(components(links), "components")
+    for turn in ("leader", "direct"):
+        # buckets of two are settled by now
+        labelled = members.filter("size > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "c")).alias("l")).filter("c0 <> c1")
+        mixed = mixed.select("bucket", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
+        apart = labelled.join(materialise(mixed, "open-buckets"), "bucket")
+        if turn == "leader":
+            pairs = ordered(F.col("a"), F.col("id"), apart.filter("c <> ca"))
+        else:
+            apart = materialise(apart.select("bucket", "id", "c"), "open-members")
+            other = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
+            pairs = ordered(F.col("id"), F.col("b"), apart.join(other, "bucket").filter("id < b AND c <> cb"))
+        fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(verified(fresh, texts), "links")
+        tried = tried.unionByName(fresh)
+        if not more.limit(1).isEmpty():
+            links = links.unionByName(more)
+            found = materialise(components(links), "components")
 
     # classes whose name isn't simply each row's own id
     named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").filter("n > 1 OR component IS NOT NULL")
