@@ -1,22 +1,22 @@
 """Language-model scoring by logistic context mixing.
 
-A text is coded bit by bit. Seven predictors, of 0 to 5 preceding bytes and of the current word's beginning, each hash their
-context and the bits of the current byte seen so far to a slot that remembers how many zeros and ones followed (as a coded pair, one
+A text is coded bit by bit. Six predictors, of 0 to 5 preceding bytes, each hash their context and the bits of the
+current byte seen so far to a slot that remembers how many zeros and ones followed (as a coded pair, one
 byte a slot; the tables have a fixed size, whatever the corpus). An adaptive map for each order turns a slot's pair
 into a probability, a gated mixer adds their logits with weights chosen by bit place and longest known context, and a
 final adaptive map refines the mix. The bits' log-probabilities add up to that of the text.
 
 Training, all distributed, over every training text:
-1. sites (a byte, the five before it and the word's beginning) are counted in each task, then across tasks (what is
-   shuffled grows with the corpus);
-2. distinct sites are expanded to slots, and the slots' counts added up;
+1. sites (a byte and the five before it) are counted in each task, then across tasks (what is shuffled grows with the
+   corpus);
+2. distinct sites are expanded to slots; a task sends its slots' counts as compressed blocks, which are added up in two steps;
 3. the adaptive maps are counted, each site seen without its own occurrence, so that they show what slots say of new text;
 4. mixer weights learn online, by steps down the coding cost in each task, and are averaged over the tasks; the final
    map counts on the way.
 Scoring looks each distinct site of a block up once.
 
 The unigram base of the same pass: words count in each task first; frequent words (more than one token in
-20,000, hence at most 20,000 words) go to all tasks by broadcast, all others are joined.
+100,000, hence at most 100,000 words) go to all tasks by broadcast, all others are joined.
 
 Defined results: a null or empty text is coded as the end sign alone. A null id counts as text "" for the fold. Rows that repeat
 are scored, and learnt from, once each. Without training texts every probability comes from the untrained model,
@@ -40,13 +40,12 @@ from pyspark.sql import functions as F
 
 from hazardry.llm.common import blocks, lower_ascii, materialise
 
-BYTES = 6  # the current one and five before it
-ORDERS = BYTES + 1  # contexts of 0 to 5 bytes, and the current word's beginning
+ORDERS = 6  # contexts of 0 to 5 bytes; a site is a byte and the five before it
 SLOT_BITS = 22
 END = 255  # no byte of UTF-8
 #: Counts that a slot can tell apart; a coded pair is 16 * code of zeros + code of ones.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 512, 4096])
-FREQUENT = 20_000
+FREQUENT = 100_000
 RATE = 0.5
 BUCKETS = 24
 GATES = 8 * ORDERS
@@ -54,69 +53,37 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASHED = ORDERS - 2  # orders 0 and 1 have slots of their own
 _TABLE_SIZE = (_HASHED << SLOT_BITS) + (1 << 16) + (1 << 8)
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
 
 
-@dataclass
-class Sites:
-    """Places in texts: the six-byte string that ends there (current byte lowest) and a hash of the word up to there."""
-
-    grams: np.ndarray
-    words: np.ndarray
-
-    def __len__(self) -> int:
-        return len(self.grams)
-
-    def __getitem__(self, part) -> Sites:
-        return Sites(self.grams[part], self.words[part])
-
-    def distinct(self) -> tuple[Sites, np.ndarray]:
-        """The distinct sites, and each site's place among them."""
-        _, first, place = np.unique((self.grams * _K2) ^ self.words, return_index=True, return_inverse=True)
-        return self[first], place
+def distinct(sites: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sites and how often each occurs."""
+    if n is None:
+        return np.unique(sites, return_counts=True)
+    every, place = np.unique(sites, return_inverse=True)
+    return every, np.bincount(place, n).astype(np.int64)
 
-    @staticmethod
-    def from_batch(batch: pa.RecordBatch) -> tuple[Sites, np.ndarray]:
-        gram, word, n = (np.asarray(batch.column(k)) for k in range(3))
-        return Sites(gram.view(np.uint64), word.view(np.uint64)), n
 
-
-def sites_of(texts: list[str]) -> tuple[Sites, np.ndarray]:
-    """All sites of the texts (the end of a text is one), and where each text starts."""
+def sites_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All sites of the texts (the current byte lowest; the end of a text is one), and where each text starts."""
     raw = [text.encode("utf-8") for text in texts]
     joined = np.frombuffer(b"".join(b"\0\0\0\0\0" + x + b"\xff" for x in raw), np.uint8)
     size = len(joined)
-    grams = np.zeros(size, np.uint64)
-    for k in range(BYTES):
-        grams[k:] |= joined[: size - k].astype(np.uint64) << np.uint64(8 * k)
-    # the word's beginning: a polynomial hash of the bytes since the last blank, from differences of a running sum
-    power, inverse = np.full(size + 1, _P, np.uint64), np.full(size + 1, _P_INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    power, inverse = np.cumprod(power), np.cumprod(inverse)
-    running = np.zeros(size + 1, np.uint64)
-    np.cumsum(joined.astype(np.uint64) * power[:-1], out=running[1:])
-    blank = (joined == 32) | ((joined >= 9) & (joined <= 13)) | (joined == 0)
-    begin = np.zeros(size, np.int64)
-    begin[1:] = np.maximum.accumulate(np.where(blank, np.arange(1, size + 1), 0))[:-1]
-    words = (running[:-1] - running[begin]) * inverse[begin]
-    words = (words ^ (words >> np.uint64(29))) * _K2
+    sites = np.zeros(size, np.uint64)
+    for k in range(ORDERS):
+        sites[k:] |= joined[: size - k].astype(np.uint64) << np.uint64(8 * k)
     lengths = np.array([len(x) + 1 for x in raw])
     keep = np.ones(size, bool)
     heads = np.cumsum(lengths + 5) - (lengths + 5)
     for k in range(5):
         keep[heads + k] = False
-    return Sites(grams[keep], words[keep]), np.cumsum(lengths) - lengths
+    return sites[keep], np.cumsum(lengths) - lengths
 
 
-def slots_of(sites: Sites, order: int, node: np.ndarray) -> np.ndarray:
+def slots_of(sites: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
     """Where the tables keep a context of this order and the bits before the current one."""
     if order == 0:
         return (_HASHED << SLOT_BITS) + (1 << 16) + node.astype(np.int64)
-    if order == BYTES:
-        context = sites.words
-    else:
-        context = (sites.grams >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
+    context = (sites >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
     if order == 1:
         return (_HASHED << SLOT_BITS) + (context.astype(np.int64) << 8) + node.astype(np.int64)
     mixed = (context * _K1) ^ ((node.astype(np.uint64) + np.uint64(order << 8)) * _K2)
@@ -124,9 +91,9 @@ def slots_of(sites: Sites, order: int, node: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + ((order - 2) << SLOT_BITS)
 
 
-def bits_of(sites: Sites) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def bits_of(sites: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each of the eight bits: its place, the node (1 and the bits before), the bit."""
-    byte = (sites.grams & np.uint64(255)).astype(np.int64)
+    byte = (sites & np.uint64(255)).astype(np.int64)
     for place in range(8):
         yield place, (1 << place) | (byte >> (8 - place)), (byte >> (7 - place)) & 1
 
@@ -169,10 +136,10 @@ class Model:
     weights: np.ndarray
     refined: np.ndarray
 
-    def pairs(self, sites: Sites, node: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+    def pairs(self, sites: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """The coded pairs [order, site]; with bits given, without the site's own occurrence."""
         found = np.stack([self.table[slots_of(sites, k, node)] for k in range(ORDERS)]).astype(np.int64)
-        return found if bit is None else without_own(found, bit, (((sites.grams * _K2) ^ sites.words) * _K1 >> np.uint64(24)).astype(np.int64))
+        return found if bit is None else without_own(found, bit, (sites * _K1 >> np.uint64(24)).astype(np.int64))
 
     def inputs(self, pairs: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray]:
         """Mixer inputs [order and bias, site] and the gate of each site."""
@@ -190,7 +157,7 @@ class Model:
         p = (squash(logit) + self.refined[node, bucket(logit)]) / 2
         return np.clip(p, 1e-6, 1 - 1e-6)
 
-    def log10(self, sites: Sites) -> np.ndarray:
+    def log10(self, sites: np.ndarray) -> np.ndarray:
         """log10 probability of each site's byte."""
         out = np.zeros(len(sites))
         for at in range(0, len(sites), 200_000):
@@ -212,56 +179,91 @@ def untrained(table: np.ndarray) -> Model:
 
 
 def counted_sites(texts: DataFrame) -> DataFrame:
-    """(gram, word, n) over all texts."""
+    """(site, n) over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[Sites, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            every, place = Sites(*(np.concatenate([getattr(x, name) for x, _ in held]) for name in ("grams", "words"))).distinct()
-            total = np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+            every, total = distinct(np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held]))
             held.clear()
-            columns = [pa.array(every.grams.view(np.int64)), pa.array(every.words.view(np.int64)), pa.array(total)]
-            return pa.RecordBatch.from_arrays(columns, names=["gram", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(total)], names=["site", "n"])
 
         for batch in batches:
             for _, part in blocks(batch.column(0).to_pylist()):
-                every, place = sites_of(part)[0].distinct()
-                held.append((every, np.bincount(place)))
-                if sum(len(x) for x, _ in held) > 3_000_000:
+                held.append(distinct(sites_of(part)[0]))
+                if sum(len(x) for x, _ in held) > 5_000_000:
                     yield flush()
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "gram long, word long, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "site long, n long").groupBy("site").agg(F.sum("n").alias("n"))
+
+
+BLOCK = 1 << 16
+_PACKED = "block int, part int, packed binary"
+
 
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
 
-def slot_blocks(counted: DataFrame) -> DataFrame:
-    """(block, pairs): the coded pairs of each 65,536 slots."""
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int64).reshape(-1, 2)
+
+
+def slot_blocks(counted: DataFrame, fan: int = 64) -> DataFrame:
+    """(block, pairs): the coded pairs of each 65,536 slots.
+
+    Counts travel as compressed blocks of a task, order by order; blocks of up to ``fan`` groups of tasks are added first, then the
+    groups, so that no task holds more than a share of the blocks.
+    """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId() % fan, []
         for batch in batches:
-            sites, n = Sites.from_batch(batch)
-            for order in range(ORDERS):
-                slot = np.concatenate([slots_of(sites, order, node) * 2 + bit for _, node, bit in bits_of(sites)])
-                every, place = np.unique(slot, return_inverse=True)
-                total = np.bincount(place, np.tile(n, 8)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(total)], names=["slot", "n"])
+            held.append((np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))))
+            if sum(len(x) for x, _ in held) > 2_000_000:
+                yield from send(held, part)
+                held = []
+        if held:
+            yield from send(held, part)
+
+    def send(held: list[tuple[np.ndarray, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
+        sites, n = np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held])
+        for order in range(ORDERS):
+            keys = np.concatenate([slots_of(sites, order, node) * 2 + bit for _, node, bit in bits_of(sites)])
+            every, total = distinct(keys, np.tile(n, 8))
+            block = every // (2 * BLOCK)
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            rows = []
+            for at, end in zip(starts, np.r_[starts[1:], len(every)], strict=True):
+                counts = np.zeros(2 * BLOCK, np.int64)
+                counts[every[at:end] % (2 * BLOCK)] = total[at:end]
+                rows.append((int(block[at]), _pack(counts)))
+            names = ["block", "part", "packed"]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
+
+    def added(rows: pd.DataFrame) -> np.ndarray:
+        total = np.zeros((BLOCK, 2), np.int64)
+        for packed in rows["packed"]:
+            total += _unpack(packed)
+        return total
+
+    def halfway(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "part": [0], "packed": [_pack(added(rows))]})
 
     def assemble(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "pairs": [coded_pairs(added(rows)).tobytes()]})
 
-        half = rows["half"].to_numpy()
-        counts = np.zeros((1 << 16, 2), np.int64)
-        counts[half >> 1, half & 1] = rows["n"].to_numpy()
-        return pd.DataFrame({"block": [key[0]], "pairs": [coded_pairs(counts).tobytes()]})
-
-    slots = counted.mapInArrow(expand, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    placed = slots.select((F.col("slot") / F.lit(1 << 17)).cast("int").alias("block"), F.pmod("slot", F.lit(1 << 17)).cast("int").alias("half"), "n")
-    return placed.groupBy("block").applyInPandas(assemble, "block int, pairs binary")
+    sent = counted.mapInArrow(expand, _PACKED)
+    return sent.groupBy("block", "part").applyInPandas(halfway, _PACKED).groupBy("block").applyInPandas(assemble, "block int, pairs binary")
 
 
 def fit(texts: DataFrame) -> Model:
-    """Train on a DataFrame with one column of texts. What reaches the driver has a fixed size (21 MB)."""
+    """Train on a DataFrame with one column of texts. What reaches the driver has a fixed size (17 MB)."""
     spark = texts.sparkSession
     counted = materialise(counted_sites(texts), "sites")
     table = np.zeros(((_TABLE_SIZE + 65535) >> 16) << 16, np.uint8)
@@ -273,7 +275,7 @@ def fit(texts: DataFrame) -> Model:
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, hits = sent.value, np.zeros(ORDERS * 512)
         for batch in batches:
-            sites, n = Sites.from_batch(batch)
+            sites, n = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)).astype(float)
             for _, node, bit in bits_of(sites):
                 pairs = base.pairs(sites, node, bit)
                 for k in range(ORDERS):
@@ -301,7 +303,7 @@ def fit(texts: DataFrame) -> Model:
         own = Model(base.table, base.logits, base.weights.copy(), base.refined)
         seen, ones, total = np.zeros(GATES), np.zeros(maps), np.zeros(maps)
         for batch in batches:
-            sites, n = Sites.from_batch(batch)
+            sites, n = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)).astype(float)
             for place, node, bit in bits_of(sites):
                 x, gate = own.inputs(own.pairs(sites, node, bit), place)
                 for turn in range(3):
@@ -384,7 +386,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         for batch in batches:
             for at, texts in blocks(batch.column(2).to_pylist(), 2_000_000):
                 sites, starts = sites_of(texts)
-                every, place = sites.distinct()
+                every, place = np.unique(sites, return_inverse=True)
                 scores = np.add.reduceat(base.log10(every)[place], starts)
                 sums, counts, tokens, rare = [], [], [], []
                 for text in texts:
