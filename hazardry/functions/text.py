@@ -84,6 +84,5 @@ def json_object(text: Column, fenced_first: bool = True) -> Column:
 
 def judged_score(text: Column) -> Column:
     """The score in a judge's answer: the JSON field, else the first ``"score": n`` with n from 1 to 5, else 1."""
-    value = F.try_parse_json(F.trim(text))
-    field = F.try_variant_get(value, "$.score", "int")
+    field = F.try_variant_get(F.try_parse_json(json_object(text)), "$.score", "int")
     return F.coalesce(field, F.nullif(F.regexp_extract(text, r'"score"\s*:\s*([1-5])', 1), F.lit("")).cast("int"), F.lit(1))

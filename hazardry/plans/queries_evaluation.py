@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardry.operators import evaluation, matching, quality
+from hazardry.operators import evaluation, judging, matching, quality
 from hazardry.plans.adapters import BOXES_SQL, embedded_boxes, labelled_documents, micros, table
 from hazardry.plans.registry import query
 
@@ -313,3 +313,23 @@ def early_stops(spark, sf_dir):
 @query("prediction_summary", "SELECT count(*) AS total, round(avg((event_type <> 'error')::INTEGER), 4) AS parse_rate, round(avg(value), 1) AS avg_ms FROM events")
 def prediction_summary(spark, sf_dir):
     return quality.prediction_summary(table(spark, sf_dir, "events").select((F.col("event_type") != "error").alias("parse_success"), F.col("value").alias("generation_time_ms")))
+
+
+@query("judged_pairs")
+def judged_pairs(spark, sf_dir):
+    pairs = evaluation.paired(*_frames(spark, sf_dir)).filter("NOT parse_failure")
+    return judging.ask_judge(judging.prompts(pairs), lambda prompt: f'{{"score": {len(prompt) % 5 + 1}}}').select("frame_id", "dimension", "score")
+
+
+@query("calibration_texts", "SELECT ord, text FROM (SELECT s_suppkey AS ord, s_name AS text FROM supplier UNION ALL SELECT r + 1099511627776, CASE WHEN r % 2 = 0 THEN 'Describe the hazards in this scene.' ELSE 'What should the ego vehicle do?' END FROM range(128) t(r)) ORDER BY ord LIMIT 128")
+def calibration_texts(spark, sf_dir):
+    return judging.calibration_texts(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("text")), 128)
+
+
+@query("model_sizes", "SELECT p_partkey, (p_size * p_size * 4 * 12 + 1000 * p_size)::BIGINT AS parameters, (p_size * 28 // 56)::BIGINT AS grid_rows FROM part")
+def model_sizes(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", F.lit(None).cast("long").alias("num_parameters"), F.col("p_size").alias("hidden_size"), F.lit(12).alias("num_hidden_layers"), F.lit(1000).alias("vocab_size"),
+        F.get(judging.patch_grid(F.col("p_size") * 28, F.lit(672), 56), F.lit(1)).alias("grid_rows"),
+    )
+    return judging.estimated_parameters(rows).select("p_partkey", "parameters", "grid_rows")

@@ -114,3 +114,20 @@ def test_early_stop(spark):
     rows = spark.createDataFrame([("r", k, v) for k, v in enumerate([5.0, 4.0, 4.5, 4.2, 4.1, 1.0])], "run string, step int, loss double")
     row = quality.early_stop(rows, "loss", ["run"], "step", patience=3).first()
     assert (row.best, row.stopped_at) == (4.0, 4)
+
+
+def test_judging(spark):
+    from hazardry.operators import judging
+
+    p = spark.createDataFrame([("f", [_h(A)], False)], f"frame_id string, hazards {HAZARDS}, parse_failure boolean")
+    t = spark.createDataFrame([("f", [_h(B)], 0)], f"frame_id string, hazards {HAZARDS}, ord int")
+    asked = judging.prompts(evaluation.paired(p, t))
+
+    def client(prompt):
+        if "dimension: completeness" in prompt:
+            raise RuntimeError("down")
+        return 'Well:\n```json\n{"score": 5, "justification": "x"}\n```' if "correctness" in prompt else '"score": 3'
+
+    assert {r.dimension: r.score for r in judging.ask_judge(asked, client, 2).collect()} == {"correctness": 5, "completeness": 1, "action_relevance": 3}
+    texts = spark.createDataFrame([(0, "a"), (1, "")], "ord long, text string")
+    assert [r.text for r in judging.calibration_texts(texts, 3).collect()][0] == "a" and judging.calibration_texts(texts, 3).count() == 3
