@@ -47,12 +47,31 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = TwoGenerations(self.encode)
+        self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, found: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(found), 4096):
-            encoded = self.tokenizer.encode_batch_fast(found[at : at + 4096], add_special_tokens=False)
-            out += [array("I", x.ids).tobytes() for x in encoded]
+        """Ids of words.
+
+        Plain ones (ASCII letters, then marks) go to the tokenizer's model without its normaliser and splitter, which would
+        only lower their case and part the marks.
+        """
+        out: list[bytes] = [b""] * len(found)
+        others, model = [], self.tokenizer.model
+        for k, word in enumerate(found):
+            core = word.rstrip(".,;:!?")
+            if core.isascii() and core.isalpha():
+                tail = word[len(core) :]
+                if tail not in self.tails:
+                    if len(self.tails) > 1000:
+                        self.tails = {"": b""}
+                    self.tails[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+                out[k] = array("I", [x.id for x in model.tokenize(core.lower())]).tobytes() + self.tails[tail]
+            else:
+                others.append(k)
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            for k, x in zip(part, self.tokenizer.encode_batch_fast([found[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = array("I", x.ids).tobytes()
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
