@@ -7,8 +7,9 @@
    Twenty sketches miss a pair at 0.8 about once in 40,000. Texts whose numbers of shingles differ by more than a factor of 1/0.8 can't
    be similar: a bucket is a sketch and a class of lengths, and a text is in its own class and the next.
 3. Texts of a bucket are compared with its leader, the smallest id; where a bucket's texts still lie in different components,
-   those of other components are compared with a random leader; what lies apart even then is compared directly, so
-   leaders save work but lose nothing. No pair is compared twice. Compared means aligned: the longest common subsequence of the
+   those of other components are compared with a random leader, and then with the leaders of narrower buckets, which are
+   two sketches and a length class (sixty for each text), so with the texts most like them. All of this is linear in a bucket's size.
+   With ``exhaustive`` what lies apart even then is compared directly, which is certain but quadratic. No pair is compared twice. Compared means aligned: the longest common subsequence of the
    shingle sequences in the band that a similarity of 0.8 allows, bit-parallel; similarity is common / (a + b - common).
 4. Components of the links by alternating large-star and small-star steps, all of it distributed.
 
@@ -229,7 +230,17 @@ def bucketed(classes: DataFrame) -> DataFrame:
     return rows.select("id", both.alias("bucket"))
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def narrowed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, id) of narrower buckets: two sketches of a text and a length class."""
+    n = SKETCHES
+    pairs = F.array(*[F.struct(F.lit(k).alias("i"), F.lit((k + step) % n).alias("j")) for step in (1, 2, 3) for k in range(n)])
+    length = F.floor(F.log("shingles") / F.lit(-float(np.log(SIMILARITY)))).cast("int")
+    some = classes.select(F.col("rep").alias("id"), length.alias("c"), "sketches").join(members.select("id").distinct(), "id", "left_semi")
+    rows = some.select("id", "c", F.explode(F.transform(pairs, lambda p: F.xxhash64(p["i"], p["j"], F.get("sketches", p["i"]), F.get("sketches", p["j"])))).alias("two"))
+    return rows.select("id", F.explode(F.array(F.xxhash64("two", "c"), F.xxhash64("two", F.col("c") + 1))).alias("bucket"))
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exhaustive: bool = False) -> DataFrame:
     """One row for each row: id, class_id (the smallest id of its group), kept (whether it is that one)."""
     rows = materialise(sketched(df, id_col, text_col), "sketches")
     classes = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches"))
@@ -244,19 +255,27 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def ordered(a, b, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
 
+    def labelled(buckets: DataFrame) -> DataFrame:
+        return buckets.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+
+    def mixed(buckets: DataFrame, leader) -> DataFrame:
+        """Buckets whose texts lie in different components, with a leader and its component."""
+        return buckets.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(leader.alias("h"), "id", "c")).alias("l")).filter("c0 <> c1").select("bucket", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
+
     tried = materialise(ordered(F.col("leader"), F.col("id"), members), "pairs")
     links = materialise(verified(tried, texts), "links")
     found = materialise(components(links), "components")
-    for turn in ("leader", "direct"):
+    for turn in ("random", "narrow", "direct") if exhaustive else ("random", "narrow"):
         # buckets of two are settled by now
-        labelled = members.filter("size > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", "c")).alias("l")).filter("c0 <> c1")
-        mixed = mixed.select("bucket", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
-        apart = labelled.join(materialise(mixed, "open-buckets"), "bucket")
-        if turn == "leader":
-            pairs = ordered(F.col("a"), F.col("id"), apart.filter("c <> ca"))
+        inside = labelled(members.filter("size > 2"))
+        open_buckets = materialise(mixed(inside, F.xxhash64("id")), "open-buckets")
+        if turn == "random":
+            pairs = ordered(F.col("a"), F.col("id"), inside.join(open_buckets, "bucket").filter("c <> ca"))
+        elif turn == "narrow":
+            narrow = materialise(labelled(narrowed(inside.join(open_buckets, "bucket", "left_semi"), classes)), "narrow-members")
+            pairs = ordered(F.col("a"), F.col("id"), narrow.join(materialise(mixed(narrow, F.col("id")), "narrow-buckets"), "bucket").filter("c <> ca"))
         else:
-            apart = materialise(apart.select("bucket", "id", "c"), "open-members")
+            apart = materialise(inside.join(open_buckets, "bucket", "left_semi"), "open-members")
             other = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
             pairs = ordered(F.col("id"), F.col("b"), apart.join(other, "bucket").filter("id < b AND c <> cb"))
         fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")

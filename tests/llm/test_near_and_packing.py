@@ -77,8 +77,9 @@ def _classes(texts, ids):
 
 def test_groups(spark):
     texts = _corpus()
-    got = {r.doc_id: r.class_id for r in near.near_groups(_docs(spark, texts)).collect()}
-    assert got == _classes(texts, list(range(len(texts))))
+    wanted = _classes(texts, list(range(len(texts))))
+    for exhaustive in (False, True):
+        assert {r.doc_id: r.class_id for r in near.near_groups(_docs(spark, texts), exhaustive=exhaustive).collect()} == wanted
 
 
 def test_chains_are_one_group_and_order_matters(spark):
