@@ -89,7 +89,7 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def batch_counts(df: DataFrame, text_col: str = "text", batches: int = 4, min_chars: int = 1) -> DataFrame:
     """(batch, h1, h2, n): in how many rows of each batch a line stands. Rows fall into batches by their text's hash."""
     distinct = F.array_distinct(F.filter(line_keys(F.col(text_col)), lambda k: F.length(k) >= min_chars))
-    batch = F.pmod(F.xxhash64(F.coalesce(F.substring(F.col(text_col), 1, 64), F.lit(""))), F.lit(batches)).cast("int")
+    batch = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(batches)).cast("int")
     rows = df.select(batch.alias("batch"), F.explode(F.transform(distinct, hashed)).alias("k"))
     return rows.groupBy("batch", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2")).agg(F.count(F.lit(1)).alias("n"))
 
