@@ -26,6 +26,7 @@ and the base score is null. Other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -169,6 +170,40 @@ class Model:
         return out
 
 
+class Memo:
+    """Log-probabilities of the sites that this Python process has met, up to a bound; sites repeat from block to block."""
+
+    def __init__(self, token: str, most: int = 3_000_000):
+        self.token, self.most = token, most
+        self.known, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, model: Model, every: np.ndarray) -> np.ndarray:
+        """The values of distinct, sorted sites."""
+        if len(self.known) > self.most:
+            self.known, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        at = np.searchsorted(self.known, every)
+        hit = np.zeros(len(every), bool)
+        inside = at < len(self.known)
+        hit[inside] = self.known[at[inside]] == every[inside]
+        out = np.empty(len(every))
+        out[hit] = self.values[at[hit]]
+        if not hit.all():
+            out[~hit] = model.log10(every[~hit])
+            self.known = np.insert(self.known, at[~hit], every[~hit])
+            self.values = np.insert(self.values, at[~hit], out[~hit])
+        return out
+
+
+_MEMO: list[Memo] = []
+
+
+def memo_of(token: str) -> Memo:
+    """The memo of one model in this process; another model's is dropped."""
+    if not _MEMO or _MEMO[0].token != token:
+        _MEMO[:] = [Memo(token)]
+    return _MEMO[0]
+
+
 def bucket(logit: np.ndarray) -> np.ndarray:
     return np.clip(((logit + 12) * BUCKETS / 24).astype(np.int64), 0, BUCKETS - 1)
 
@@ -374,6 +409,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     frequent = words.filter((F.col("c") * FREQUENT > n) & (F.octet_length("word") <= 64)).collect()  # at most FREQUENT words
     model = fit(training)
     sent = spark.sparkContext.broadcast((model, {bytes(r.word): r.c for r in frequent}))
+    token = uuid.uuid4().hex
     lower = 0.1 * (v + 1)
     kind = rows.schema[id_col].dataType.simpleString()
 
@@ -381,13 +417,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         from pyspark import TaskContext
 
         base, known = sent.value
+        memo = memo_of(token)
         logs = {word: float(np.log10((c + 0.1) / (n + lower))) for word, c in known.items()} if n else {}
         row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, texts in blocks(batch.column(2).to_pylist(), 2_000_000):
                 sites, starts = sites_of(texts)
                 every, place = np.unique(sites, return_inverse=True)
-                scores = np.add.reduceat(base.log10(every)[place], starts)
+                scores = np.add.reduceat(memo.of(base, every)[place], starts)
                 sums, counts, tokens, rare = [], [], [], []
                 for text in texts:
                     found = Counter(WORD.findall(text.encode("utf-8")))
