@@ -105,7 +105,7 @@ def test_text_quality(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame([("abcd", "abxde"), ("", ""), ("a", "")], "a string, b string")
-    assert [r.s for r in rows.select(quality.text_similarity(F.col("a"), F.col("b")).alias("s")).collect()] == [pytest.approx(0.4), 1.0, 0.0]
+    assert [r.s for r in rows.select(quality.text_similarity(F.col("a"), F.col("b")).alias("s")).collect()] == [pytest.approx(0.6), 1.0, 0.0]
     boxes = spark.createDataFrame([('"bbox_2d": [1, 2, 3, 4] "bbox_2d": [x]', '"bbox_2d": [2, 2, 3, 8] "bbox_2d": [1]')], "a string, b string")
     assert quality.box_error(boxes, "a", "b").first().bbox_mae == 1.25
 
