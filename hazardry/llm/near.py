@@ -9,7 +9,10 @@
 3. Texts of a bucket are compared with its leader, the smallest id; where a bucket's texts still lie in different components,
    those of other components are compared with a random leader, and then with the leaders of narrower buckets, which are
    two sketches and a length class (sixty for each text), so with the texts most like them. All of this is linear in a bucket's size.
-   With ``exhaustive`` what lies apart even then is compared directly, which is certain but quadratic. No pair is compared twice. Compared means aligned: the longest common subsequence of the
+   What lies apart even then is compared directly, all pairs of a bucket: a profile (how many shingles fall into each of 256 bins) bounds
+   what two texts can have in common, and only pairs that this bound leaves are aligned, so no pair is lost. Pairs are met within squares
+   of two blocks of a bucket, so a large bucket is many tasks' work; their number is quadratic in a bucket's size. ``exhaustive=False`` leaves
+   this step out. No pair is aligned twice. Aligned means: the longest common subsequence of the
    shingle sequences in the band that a similarity of 0.8 allows, bit-parallel; similarity is common / (a + b - common).
 4. Components of the links by alternating large-star and small-star steps, all of it distributed.
 
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from hazardry.llm.common import LOWER, UPPER, materialise
 
 SHINGLE, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 20, 4
+BINS, BLOCK = 256, 1024
 _TABLE = str.maketrans(UPPER + "\t\n\x0b\x0c\r", LOWER + 5 * " ")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -97,9 +101,9 @@ def occurrence_labelled(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(hashes: np.ndarray) -> np.ndarray:
-    """Order MinHash of a text: one hash for each sketch."""
-    labelled = occurrence_labelled(shingle_hashes(hashes))
+def sketches(shingles: np.ndarray) -> np.ndarray:
+    """Order MinHash of a text's shingles: one hash for each sketch."""
+    labelled = occurrence_labelled(shingles)
     if not len(labelled):
         return np.zeros(0, np.uint64)
     keep = min(KEPT, len(labelled))
@@ -116,6 +120,17 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def profile_of(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each bin, a byte each; empty if a byte doesn't hold a count."""
+    counts = np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def needed(total, least: float = SIMILARITY):
+    """The common shingles without which two texts of `total` shingles together are not similar."""
+    return np.ceil(least * total / (1 + least) - 1e-9)
+
+
 def common_in_band(a: list, b: list, band: int) -> int:
     """Length of the longest common subsequence whose path stays within `band` of the diagonal.
 
@@ -149,7 +164,7 @@ def similarity_at_least(a: list[str], b: list[str], least: float = SIMILARITY) -
     total = len(x) + len(y)
     if not x or not y:
         return total == 0
-    need = int(np.ceil(least * total / (1 + least) - 1e-9))
+    need = int(needed(total, least))
     if min(len(x), len(y)) < need or sum((Counter(x) & Counter(y)).values()) < need:
         return False
     head = 0
@@ -164,23 +179,26 @@ def similarity_at_least(a: list[str], b: list[str], least: float = SIMILARITY) -
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest of the words, number of shingles, sketches) for each row with an id."""
+    """(id, digest of the words, number of shingles, sketches, profile) for each row with an id."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, counts, found = [], [], []
+            keys, counts, found, profiles = [], [], [], []
             for value in batch.column(1):
                 row = tokens(value.as_py())
                 keys.append(hashlib.blake2b(" ".join(row).encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 counts.append(max(len(row) - SHINGLE + 1, min(len(row), 1)))
-                found.append(sketches(hashes(row)).view(np.int64))
+                shingles = shingle_hashes(hashes(row))
+                found.append(sketches(shingles).view(np.int64))
+                profiles.append(profile_of(shingles))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "shingles", "sketches"]
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
+                names=["id", "key", "shingles", "sketches", "profile"],
             )
 
-    return rows.mapInArrow(run, "id long, key binary, shingles long, sketches array<long>")
+    return rows.mapInArrow(run, "id long, key binary, shingles long, sketches array<long>, profile binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -240,10 +258,59 @@ def narrowed(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.array(F.xxhash64("two", "c"), F.xxhash64("two", F.col("c") + 1))).alias("bucket"))
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exhaustive: bool = False) -> DataFrame:
+def possible(apart: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of a bucket in different components that can be similar by their lengths and profiles, none left out.
+
+    apart: (bucket, id, c, size). A bucket's texts are dealt to blocks; a square of two blocks is one group of rows.
+    """
+    wide = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    rows = apart.select("bucket", "id", "c", wide.alias("wide"), F.pmod(F.xxhash64("id", F.lit(1)), wide).cast("int").alias("own"))
+    other = F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("other")
+    rows = rows.select("bucket", "id", "c", "own", other).select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c")
+    rows = rows.join(classes.select(F.col("rep").alias("id"), "shingles", "profile"), "id").select("bucket", "lo", "hi", "own", "id", "c", "shingles", "profile")
+    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def square(lo: int, hi: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
+        own, ids, c, n = (group.column(k).to_numpy() for k in ("own", "id", "c", "shingles"))
+        raw = group.column("profile").to_pylist()
+        full = np.array([len(x) == BINS for x in raw])
+        bins = np.frombuffer(b"".join(x or bytes(BINS) for x in raw), np.uint8).reshape(-1, BINS)
+        columns = np.flatnonzero(own == hi)
+        for k in np.flatnonzero(own == lo):
+            need = needed(n[k] + n[columns])
+            met = columns[(c[columns] != c[k]) & (np.minimum(n[k], n[columns]) >= need) & ((lo != hi) | (columns > k))]
+            if not len(met):
+                continue
+            most = np.minimum(bins[met], bins[k]).sum(axis=1, dtype=np.int64)
+            met = met[(most >= needed(n[k] + n[met])) | ~full[met] | (not full[k])]
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[met], ids[k])), pa.array(np.maximum(ids[met], ids[k]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            starts = np.r_[0, 1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))]
+            for at, end in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
+                key = tuple(int(x) for x in keys[:, at])
+                if held and key != last:
+                    yield from square(last[1], last[2], pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(at, end - at))
+                last = key
+        if held:
+            yield from square(last[1], last[2], pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exhaustive: bool = True) -> DataFrame:
     """One row for each row: id, class_id (the smallest id of its group), kept (whether it is that one)."""
     rows = materialise(sketched(df, id_col, text_col), "sketches")
-    classes = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches"))
+    classes = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches"), F.first("profile").alias("profile"))
     classes = materialise(classes, "classes")
     placed = bucketed(classes)
     crowded = placed.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -256,7 +323,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
         return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
 
     def labelled(buckets: DataFrame) -> DataFrame:
-        return buckets.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+        return buckets.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"), *[x for x in ("size",) if x in buckets.columns])
 
     def mixed(buckets: DataFrame, leader) -> DataFrame:
         """Buckets whose texts lie in different components, with a leader and its component."""
@@ -275,9 +342,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
             narrow = materialise(labelled(narrowed(inside.join(open_buckets, "bucket", "left_semi"), classes)), "narrow-members")
             pairs = ordered(F.col("a"), F.col("id"), narrow.join(materialise(mixed(narrow, F.col("id")), "narrow-buckets"), "bucket").filter("c <> ca"))
         else:
-            apart = materialise(inside.join(open_buckets, "bucket", "left_semi"), "open-members")
-            other = apart.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = ordered(F.col("id"), F.col("b"), apart.join(other, "bucket").filter("id < b AND c <> cb"))
+            pairs = possible(inside.join(open_buckets, "bucket", "left_semi"), classes)
         fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(fresh, texts), "links")
         tried = tried.unionByName(fresh)

@@ -90,6 +90,29 @@ def test_chains_are_one_group_and_order_matters(spark):
     assert [got[k] for k in range(9)] == [0] * 8 + [8]
 
 
+def test_pairs_that_no_leader_is_similar_to_are_linked(spark):
+    core = [f"w{k}" for k in range(83)]
+    tails = [[f"t{j}x{k}" for k in range(10)] for j in range(40)]
+    for j in range(20, 40, 2):
+        tails[j + 1][0] = tails[j][0]
+    texts = [" ".join(core + tail) for tail in tails]
+    wanted = _classes(texts, list(range(len(texts))))
+    assert wanted == {k: k - 1 if k > 20 and k % 2 else k for k in range(40)}
+    assert {r.doc_id: r.class_id for r in near.near_groups(_docs(spark, texts)).collect()} == wanted
+
+
+def test_profiles_bound_what_texts_have_in_common(spark):
+    rng = random.Random(5)
+    hashes = near.WordHashes()
+    for _ in range(300):
+        a, b = ([f"w{rng.randrange(6)}" for _ in range(rng.randrange(5, 60))] for _ in range(2))
+        x, y = (near.shingle_hashes(hashes(w)) for w in (a, b))
+        most = np.minimum(*(np.frombuffer(near.profile_of(s), np.uint8) for s in (x, y))).sum()
+        assert sum((Counter(x.tolist()) & Counter(y.tolist())).values()) <= most
+    assert near.profile_of(np.zeros(256, np.uint64)) == b""
+    assert len(near.profile_of(np.zeros(0, np.uint64))) == near.BINS
+
+
 def test_null_ids_and_empty_table(spark):
     df = _docs(spark, ["x y", "x y", "z"], ids=[None, 4, 5])
     got = sorted((r.doc_id is None, r.doc_id or 0, r.kept) for r in near.near_groups(df).collect())
