@@ -1,13 +1,13 @@
 """Language-model scoring by logistic context mixing.
 
-A text is coded bit by bit. Six predictors, of 0 to 5 preceding bytes, each hash their context and the bits of the
+A text is coded bit by bit. Seven predictors, of 0 to 5 preceding bytes and of the current word's beginning, each hash their context and the bits of the
 current byte seen so far to a slot that remembers how many zeros and ones followed (as a coded pair, one
 byte a slot; the tables have a fixed size, whatever the corpus). An adaptive map for each order turns a slot's pair
 into a probability, a gated mixer adds their logits with weights chosen by bit place and longest known context, and a
 final adaptive map refines the mix. The bits' log-probabilities add up to that of the text.
 
 Training, all distributed, over every training text:
-1. sites (a byte and the five before it) are counted in each task, then across tasks (what is shuffled grows with the
+1. sites (a byte, the five before it and a hash of the word's beginning) are counted in each task, then across tasks (what is shuffled grows with the
    corpus);
 2. distinct sites are expanded to slots; a task sends its slots' counts as compressed blocks, which are added up in two steps;
 3. the adaptive maps are counted, each site seen without its own occurrence, so that they show what slots say of new text;
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 from hazardry.llm.common import blocks, lower_ascii, materialise
 
-ORDERS = 6  # contexts of 0 to 5 bytes; a site is a byte and the five before it
+BYTES = 6  # a site is a byte and the five before it, and above them 16 bits of a hash of the current word up to there
+ORDERS = BYTES + 1  # contexts of 0 to 5 bytes, and the current word's beginning
 SLOT_BITS = 22
 END = 255  # no byte of UTF-8
 #: Counts that a slot can tell apart; a coded pair is 16 * code of zeros + code of ones.
@@ -54,6 +55,13 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HASHED = ORDERS - 2  # orders 0 and 1 have slots of their own
 _TABLE_SIZE = (_HASHED << SLOT_BITS) + (1 << 16) + (1 << 8)
+_P = 0x9E3779B97F4A7C15
+_P_INVERSE = pow(_P, -1, 1 << 64)
+_BLANK = np.isin(np.arange(256), [0, 9, 10, 11, 12, 13, 32])
+#: How many of two bytes (the later one lowest) belong to the word that ends with them.
+_IN_WORD = np.where(_BLANK[np.arange(1 << 16) & 255], 0, np.where(_BLANK[np.arange(1 << 16) >> 8], 1, 2)).astype(np.uint8)
+#: The hash of a word's beginning, and so many of its last bytes.
+_WORD_MASK = np.array([(0xFFFF << 40) | ((1 << (8 * k)) - 1) for k in range(BYTES)], np.uint64)
 
 
 def distinct(sites: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -65,13 +73,24 @@ def distinct(sites: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 def sites_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All sites of the texts (the current byte lowest; the end of a text is one), and where each text starts."""
+    """All sites of the texts (the current byte lowest, the hash of the word's beginning highest; the end of a text is one), and where each text starts."""
     raw = [text.encode("utf-8") for text in texts]
     joined = np.frombuffer(b"".join(b"\0\0\0\0\0" + x + b"\xff" for x in raw), np.uint8)
     size = len(joined)
     sites = np.zeros(size, np.uint64)
-    for k in range(ORDERS):
+    for k in range(BYTES):
         sites[k:] |= joined[: size - k].astype(np.uint64) << np.uint64(8 * k)
+    # the word's beginning: a polynomial hash of the bytes since the last blank, from differences of a running sum
+    power, inverse = np.full(size + 1, _P, np.uint64), np.full(size + 1, _P_INVERSE, np.uint64)
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    running = np.zeros(size + 1, np.uint64)
+    np.cumsum(joined.astype(np.uint64) * power[:-1], out=running[1:])
+    begin = np.zeros(size, np.int64)
+    begin[1:] = np.maximum.accumulate(np.where(_BLANK[joined], np.arange(1, size + 1), 0))[:-1]
+    words = (running[:-1] - running[begin]) * inverse[begin]
+    words = (words ^ (words >> np.uint64(29))) * _K2
+    sites |= (words >> np.uint64(48)) << np.uint64(48)
     lengths = np.array([len(x) + 1 for x in raw])
     keep = np.ones(size, bool)
     heads = np.cumsum(lengths + 5) - (lengths + 5)
@@ -80,11 +99,19 @@ def sites_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sites[keep], np.cumsum(lengths) - lengths
 
 
+def words_of(sites: np.ndarray) -> np.ndarray:
+    """The current word's beginning: its hash and those of the five bytes before that belong to it."""
+    context = sites >> np.uint64(8)
+    near, far = (_IN_WORD[((context >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.int64)] for k in (0, 16))
+    first = ~_BLANK[((context >> np.uint64(32)) & np.uint64(255)).astype(np.int64)]
+    return context & _WORD_MASK[near + (near == 2) * (far + (far == 2) * first)]
+
+
 def slots_of(sites: np.ndarray, order: int, node: np.ndarray) -> np.ndarray:
     """Where the tables keep a context of this order and the bits before the current one."""
     if order == 0:
         return (_HASHED << SLOT_BITS) + (1 << 16) + node.astype(np.int64)
-    context = (sites >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
+    context = words_of(sites) if order == BYTES else (sites >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
     if order == 1:
         return (_HASHED << SLOT_BITS) + (context.astype(np.int64) << 8) + node.astype(np.int64)
     mixed = (context * _K1) ^ ((node.astype(np.uint64) + np.uint64(order << 8)) * _K2)
@@ -298,7 +325,7 @@ def slot_blocks(counted: DataFrame, fan: int = 64) -> DataFrame:
 
 
 def fit(texts: DataFrame) -> Model:
-    """Train on a DataFrame with one column of texts. What reaches the driver has a fixed size (17 MB)."""
+    """Train on a DataFrame with one column of texts. What reaches the driver has a fixed size (21 MB)."""
     spark = texts.sparkSession
     counted = materialise(counted_sites(texts), "sites")
     table = np.zeros(((_TABLE_SIZE + 65535) >> 16) << 16, np.uint8)

@@ -45,6 +45,17 @@ def test_base_score(scored):
         assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 0.1) / (n + 0.1 * (v + 1))) for w in row), abs=1e-6)
 
 
+def test_mixing_sees_the_word_beyond_five_bytes():
+    texts = ["x abcdefgh", "y  abcdefgh", "x qbcdefgh", "an of", "no of"]
+    sites, starts = mixing.sites_of(texts)
+    last = sites[np.r_[starts[1:], len(sites)] - 2]  # before the end sign
+    slots = [mixing.slots_of(last, k, np.full(5, 1)) for k in range(mixing.ORDERS)]
+    for short in slots[:6]:  # five bytes don't tell the long words apart
+        assert short[0] == short[1] == short[2]
+    assert slots[-1][0] == slots[-1][1] != slots[-1][2]
+    assert slots[5][3] != slots[5][4] and slots[-1][3] == slots[-1][4]
+
+
 def test_mixing_learns(scored):
     texts, got = scored
     held = [r for r in got.values() if r.held_out and r.n_bytes > 100]
