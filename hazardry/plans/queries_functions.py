@@ -148,8 +148,10 @@ def judged_scores(spark, sf_dir):
 
 @query("label_masks", "SELECT conv_id, turn, length(text) AS n, CASE WHEN instr(text, ' t') > 0 THEN instr(text, ' t') + 1 ELSE length(text) END AS start FROM conversations WHERE length(text) BETWEEN 2 AND 400")
 def label_masks(spark, sf_dir):
-    ids = F.transform(F.split("text", ""), lambda c: F.when(c == " ", 1).when(c == "t", 2).otherwise(0))
-    rows = table(spark, sf_dir, "conversations").filter("length(text) BETWEEN 2 AND 400").select("conv_id", "turn", ids.alias("ids"))
+    # the SQL still keeps texts of 2 to 400 characters only; a null text has null counts, an empty one no ids
+    letters = F.when(F.length("text") == 0, F.array().cast("array<string>")).otherwise(F.split("text", ""))
+    ids = F.transform(letters, lambda c: F.when(c == " ", 1).when(c == "t", 2).otherwise(0))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids"))
     masked = rows.withColumn("labels", annotation.masked_labels(F.col("ids"), annotation.label_start(F.col("ids"), [1, 2]), 4096))
     return masked.select("conv_id", "turn", F.size("labels").alias("n"), F.size(F.filter("labels", lambda v: v == -100)).alias("start"))
 

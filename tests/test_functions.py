@@ -82,3 +82,12 @@ def test_config(tmp_path):
     (tmp_path / "b.yaml").write_text("p: {x: 2}\n")
     assert config.load(tmp_path / "a.yaml", tmp_path / "b.yaml") == {"p": {"x": 2, "y": "z/w"}}
     assert config.choose(0, 3) == 0 and config.choose(None, 3) == 3
+
+
+def test_label_masks_takes_texts_of_any_length(spark, tmp_path):
+    from hazardry.plans import registry
+
+    texts = [None, "", "a", "ab", "b" * 150 + " t" + "c" * 700, "d" * 401]
+    spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.n, r.start) for r in registry.queries()["label_masks"](spark, str(tmp_path)).collect()}
+    assert got == {0: (None, None), 1: (0, 0), 2: (1, 1), 3: (2, 2), 4: (852, 152), 5: (401, 401)}
