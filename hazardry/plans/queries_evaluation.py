@@ -272,7 +272,7 @@ def quant_degradation(spark, sf_dir):
     SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE same::DOUBLE / greatest(length(a), length(b)) END, 6) AS similarity FROM c""",
 )
 def text_similarity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.substring("text", 1, 200).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
     met = quality.zipped(docs, docs.withColumn("ord", F.col("ord") - 1))
     return met.select(F.col("ord").alias("doc_id"), F.round(quality.text_similarity(F.col("text_a"), F.col("text_b")), 6).alias("similarity"))
 

@@ -131,3 +131,12 @@ def test_judging(spark):
     assert {r.dimension: r.score for r in judging.ask_judge(asked, client, 2).collect()} == {"correctness": 5, "completeness": 1, "action_relevance": 3}
     texts = spark.createDataFrame([(0, "a"), (1, "")], "ord long, text string")
     assert [r.text for r in judging.calibration_texts(texts, 3).collect()][0] == "a" and judging.calibration_texts(texts, 3).count() == 3
+
+
+def test_text_similarity_takes_whole_texts(spark, tmp_path):
+    from hazardry.plans import registry
+
+    texts = ["a" * 300, "a" * 200 + "b" * 100, "a" * 200 + "b" * 300, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.similarity for r in registry.queries()["text_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {0: pytest.approx(200 / 300, abs=1e-6), 1: 0.6, 2: 0.0}
