@@ -52,6 +52,21 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def without_repeats(df: DataFrame, key: list[str], smallest: Column) -> DataFrame:
+    """One row, that with the smallest value, of each group of rows with equal keys without nulls; all other rows as they are.
+
+    Only rows of repeated keys move, and they are combined before they do.
+    """
+    repeated = df.select(*key).dropna().groupBy(*key).count().filter("count > 1").select(*key)
+    repeated = materialise(repeated, "repeated-keys")
+    if repeated.limit(1).isEmpty():
+        return df
+    names = df.columns
+    whole = F.struct(*[F.col(f"`{n}`") for n in names])
+    firsts = df.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by(whole, smallest).alias("_hz_whole"))
+    return df.join(repeated, key, "left_anti").select(*names).unionByName(firsts.select("_hz_whole.*").select(*names))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -104,6 +104,26 @@ def test_exact(spark):
     assert len(got[0]) == 2
 
 
+def test_recipes_alone_decide(spark):
+    """Identifiers that stand for several chunks are found out and widened; without that, the weak ones would group wrongly."""
+    from pyspark.sql import functions as F
+
+    df = _docs(spark, ["abc", "abd", "xyz", "abc", "long " * 2000, "long " * 2000])
+    weak = lambda c: F.length(c).cast("long")
+    assert exact.dictionary(exact.recipes(df, identify=weak)).filter(~F.col("verified")).count() >= 1
+    for identify in (F.xxhash64, weak):
+        assert {r.doc_id: r.keep_id for r in exact.exact_groups(df, identify=identify).collect()} == {0: 3, 1: 1, 2: 2, 3: 3, 4: 5, 5: 5}
+    blind = lambda c: F.lit(1).cast("long")
+    rows = exact.recipes(df.filter("doc_id = 0"), identify=blind)
+    assert [r.ids for r in rows.collect()] == [[1]]
+
+
+def test_exact_filter_leaves_one_of_repeated_rows(spark):
+    df = _docs(spark, ["a", "A", "a", "b", "b", None, None, "c"], ids=[3, 3, 3, 1, 2, None, None, None])
+    out = exact.keep_documents(df)
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect()) == [(0, ""), (0, "c"), (2, "b"), (3, "a")]
+
+
 def test_chunks_are_the_text(spark):
     df = _docs(spark, [t for t in _texts() if t] + ["e " * 5000])
     from pyspark.sql import functions as F
