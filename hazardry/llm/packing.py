@@ -6,7 +6,7 @@ at most, whatever the corpus, so it is planned on the driver: shallow combinatio
 lengths, with multiplicities) that fill a window exactly are the columns of a non-negative least-squares
 problem against the histogram; its solution is rounded down to whole repeat counts, and what remains is
 packed greedily (longest first, best fit), many equal windows at a time. The plan is a table of rank ranges
-for each length (bounded by the window too) which is broadcast; a piece finds its sequence and offset from
+for each length, broadcast up to MOST_RANGES of them; a piece finds its sequence and offset from
 its rank among the pieces of its length.
 
 Ranks need no sort and no task that sees a whole length: the tokenising task numbers its own pieces of each length,
@@ -18,6 +18,7 @@ once each. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections import Counter
@@ -31,35 +32,52 @@ from pyspark.sql import functions as F
 from hazardry.llm.common import TwoGenerations, blocks, materialise
 
 WINDOW = 4096
+#: Words that each generation of a worker's cache holds.
+CACHED = 400_000
+#: Characters that a worker tokenises at a time.
+BLOCK = 4_000_000
+#: Rank ranges that are broadcast at most (six longs each, 10 MB); beyond that the join is left to Spark.
+MOST_RANGES = 200_000
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
+def only_lowers(settings: dict) -> bool:
+    """Whether a tokenizer's settings make ASCII letters lower-case, keep runs of them whole, and change nothing else about them."""
+    parts = (settings.get("normalizer") or {}).get("normalizers") or [settings.get("normalizer") or {}]
+    kinds = {p.get("type") for p in parts if p.get("type") != "Replace" or p.get("pattern") != {"Regex": "\\s+"}}
+    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    pattern = next((p["pattern"].get("Regex", "") for p in split if p.get("type") == "Split"), "")
+    letters = pattern.split("|")
+    apart = all(x.startswith("'") for x in letters[: letters.index(r"[\p{L}]+")]) if r"[\p{L}]+" in letters else False
+    return kinds <= {"NFC", "Lowercase"} and "Lowercase" in kinds and apart and settings["model"].get("type") == "BPE" and settings.get("post_processor") is None
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space, word by word with a cache.
 
-    No token of such a vocabulary spans a blank or a line end, so a text's ids are those of its blank-separated
-    words, one after the other.
+    No token of such a vocabulary spans a blank or a line end, and neither does a special string, so a text's ids are those of its
+    blank-separated words, one after the other. Special strings get their own ids, as the library gives them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = TwoGenerations(self.encode)
+        self.lowers = only_lowers(json.loads(self.tokenizer.to_str()))
+        self.words = TwoGenerations(self.encode, CACHED)
         self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Ids of words.
 
-        Plain ones (ASCII letters, then marks) go to the tokenizer's model without its normaliser and splitter, which would
-        only lower their case and part the marks.
+        Where the normaliser and the splitter only lower the case of ASCII letters and part marks from them, plain words (letters, then
+        marks) go to the tokenizer's model directly.
         """
         out: list[bytes] = [b""] * len(found)
         others, model = [], self.tokenizer.model
         for k, word in enumerate(found):
             core = word.rstrip(".,;:!?")
-            if core.isascii() and core.isalpha():
+            if self.lowers and core.isascii() and core.isalpha():
                 tail = word[len(core) :]
                 if tail not in self.tails:
                     if len(self.tails) > 1000:
@@ -105,7 +123,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         encoder, part, seen = encoder_of(vocabulary), TaskContext.get().partitionId(), Counter()
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at, texts in blocks(batch.column(1).to_pylist()):
+            for at, texts in blocks(batch.column(1).to_pylist(), BLOCK):
                 took, cols = [], [[], [], [], [], []]
                 for k, ids in enumerate(encoder.ids(texts)):
                     ids = memoryview(ids + end)
@@ -239,13 +257,13 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     histogram = {r.length: r.n for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()}  # at most `window` rows
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = materialise(tasks.select("part", "length", F.coalesce(before, F.lit(0)).alias("_hz_before")), "piece-offsets")
-    ranges = spark.createDataFrame(
-        rank_ranges(plan(histogram, window)),
-        "length long, _hz_lo long, _hz_hi long, _hz_times long, _hz_base long, _hz_offset long",
-    )
+    planned = rank_ranges(plan(histogram, window))
+    ranges = spark.createDataFrame(planned, "length long, _hz_lo long, _hz_hi long, _hz_times long, _hz_base long, _hz_offset long")
+    if len(planned) <= MOST_RANGES:
+        ranges = F.broadcast(ranges)
     ranked = cut.join(offsets, ["part", "length"]).withColumn("_hz_rank", F.col("nth") + F.col("_hz_before"))
     inside = (ranked["length"] == ranges["length"]) & (F.col("_hz_rank") >= F.col("_hz_lo")) & (F.col("_hz_rank") < F.col("_hz_hi"))
-    placed = ranked.join(F.broadcast(ranges), inside).drop(ranges["length"])
+    placed = ranked.join(ranges, inside).drop(ranges["length"])
     step = F.col("_hz_rank") - F.col("_hz_lo")
     return placed.select(
         id_col, "start", "length", "ids_crc32", "doc_tokens",
