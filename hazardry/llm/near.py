@@ -4,31 +4,32 @@
 2. A text's shingles are its windows of five words, labelled by occurrence, so that repeats count. A sketch
    takes, under one random order, the four smallest shingles and keeps them in the order of the text;
    two texts share a sketch with about the fourth power of their similarity, and only if the order agrees.
-   Twenty sketches miss a pair at 0.8 about once in 40,000. Texts whose numbers of shingles differ by more than a factor of 1/0.8 can't
-   be similar: a bucket is a sketch and a class of lengths, and a text is in its own class and the next.
-3. Texts of a bucket are compared with its leader, the smallest id; where a bucket's texts still lie in different components,
-   those of other components are compared with a random leader, and then with the leaders of narrower buckets, which are
-   two sketches and a length class (sixty for each text), so with the texts most like them. All of this is linear in a bucket's size.
-   What lies apart even then is compared directly, all pairs of a bucket: a profile (how many shingles fall into each of 256 bins) bounds
-   what two texts can have in common, and only pairs that this bound leaves are aligned, so no pair is lost. Pairs are met within squares
-   of two blocks of a bucket, so a large bucket is many tasks' work; their number is quadratic in a bucket's size. ``exhaustive=False`` leaves
-   this step out. No pair is aligned twice. Aligned means: the longest common subsequence of the
-   shingle sequences in the band that a similarity of 0.8 allows, bit-parallel; similarity is common / (a + b - common).
+   Twenty sketches miss a pair at 0.8 about once in 40,000. Short texts (4 to 30 shingles) are also known by their smallest shingles one by
+   one, so many that two texts at 0.8 must share one: among texts of up to 24 shingles, and between those and others, no pair is missed.
+   Texts whose numbers of shingles differ by more than a factor of 1/0.8 can't be similar: a bucket is a sketch and a class of
+   lengths, and a text is in its own class and the next; a bucket without texts of its own class is met elsewhere and left out.
+3. Texts of a bucket are aligned with its leader, the smallest id, which is linear in a bucket's size. Only buckets whose texts
+   still lie in different components are then closed, exactly: their texts meet in blocks, the common shingles of every pair of
+   different components are counted through an inverted index (at the first bucket that the pair shares, so once), and what can be similar is
+   aligned unless an earlier link has joined the two. A task sends the links it finds, never pairs. The largest component of
+   a bucket is dealt once for each block of the rest, so a hot group of copies costs about its own size.
+   Aligned means: the longest common subsequence of the shingle sequences in the band that a similarity of 0.8 allows,
+   bit-parallel; similarity is common / (a + b - common).
 4. Components of the links by alternating large-star and small-star steps, all of it distributed.
 
 Buckets, classes and hub nodes may hold any share of the rows: they are combined before shuffles, and met by joins
 that adaptive execution can split; intermediate tables are written to the shared folder.
 
 Defined results: texts are compared by A-Z lower-cased words. Texts of fewer than five words have one shingle.
-Texts without words are all equal. A null id takes no part and is its own class. Rows that repeat an
-id are one document whose smallest row stands for it. An empty table gives an empty result. Other columns are
+Texts without words are all equal. Ids are whole numbers; a null id takes no part and is its own class. Rows that repeat an
+id are one document whose smallest text stands for it. An empty table gives an empty result. Other columns are
 not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardry.llm.common import LOWER, UPPER, materialise
+from hazardry.llm.common import LOWER, UPPER, materialise, without_repeats
 
 SHINGLE, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 20, 4
-BINS, BLOCK = 256, 1024
+#: Numbers of shingles: below the first no other text is similar; up to the second smallest shingles are buckets; from the third sketches are.
+LEAST, SHORT, LONG = 4, 30, 25
+#: Texts and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 _TABLE = str.maketrans(UPPER + "\t\n\x0b\x0c\r", LOWER + 5 * " ")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -62,7 +66,7 @@ _SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 class WordHashes:
     """64-bit hashes of words, with a bounded cache."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         self.cache: dict[str, int] = {}
         self.most = most
 
@@ -120,10 +124,13 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def profile_of(shingles: np.ndarray) -> bytes:
-    """How many shingles fall into each bin, a byte each; empty if a byte doesn't hold a count."""
-    counts = np.bincount((shingles & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+def smallest(shingles: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The smallest shingles of a short text, as many as make two similar texts share one.
+
+    Similar texts of a and b shingles have at least `least` * max(a, b) in common, so each lacks fewer of them than are kept here.
+    """
+    labelled = occurrence_labelled(shingles)
+    return np.sort(labelled)[: len(labelled) - int(np.ceil(least * len(labelled) - 1e-9)) + 1]
 
 
 def needed(total, least: float = SIMILARITY):
@@ -131,19 +138,45 @@ def needed(total, least: float = SIMILARITY):
     return np.ceil(least * total / (1 + least) - 1e-9)
 
 
+def _places(a: list) -> dict:
+    """Where each symbol stands: the first place and, for symbols that stand densely, bits from there; else a list. Linear in memory."""
+    found: dict = {}
+    for j, x in enumerate(a):
+        if x in found:
+            found[x].append(j)
+        else:
+            found[x] = [j]
+    out: dict = {}
+    for x, places in found.items():
+        first, span = places[0], places[-1] - places[0] + 1
+        if span == 1:
+            out[x] = (first, 1)
+        elif span <= 64 * len(places):
+            bits = np.zeros(span, np.uint8)
+            bits[np.array(places) - first] = 1
+            out[x] = (first, int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"))
+        else:
+            out[x] = places
+    return out
+
+
 def common_in_band(a: list, b: list, band: int) -> int:
     """Length of the longest common subsequence whose path stays within `band` of the diagonal.
 
     Bit-parallel: bit j of the window is 0 where the table grows at column j; the window slides with the row.
     """
-    places: dict = {}
-    for j, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << j)
+    places = _places(a)
     n, wide = len(a), 2 * band + 1
     mask, lo, window, grown = (1 << wide) - 1, -band, (1 << wide) - 1, 0
     for x in b:
-        here = places.get(x, 0)
-        here = (here >> lo if lo >= 0 else here << -lo) & mask
+        at = places.get(x)
+        if at is None:
+            here = 0
+        elif isinstance(at, tuple):
+            first, bits = at
+            here = (bits << (first - lo) if first >= lo else bits >> (lo - first)) & mask if first < lo + wide else 0
+        else:
+            here = sum(1 << (j - lo) for j in at[bisect_left(at, lo) : bisect_left(at, lo + wide)])
         step = window & here
         window = ((window + step) | (window - step)) & mask
         grown += 1 - (window & 1) if 0 <= lo < n else 0
@@ -153,52 +186,63 @@ def common_in_band(a: list, b: list, band: int) -> int:
     return grown + sum(1 for k in inside if not window >> k & 1)
 
 
-def similarity_at_least(a: list[str], b: list[str], least: float = SIMILARITY) -> bool:
-    """Whether the banded alignment of two word lists' shingles reaches the similarity."""
-
-    def shingled(found: list[str]) -> list:
-        size = min(SHINGLE, len(found))
-        return list(zip(*(found[k:] for k in range(size)), strict=False)) if size else []
-
-    x, y = shingled(a), shingled(b)
-    total = len(x) + len(y)
-    if not x or not y:
-        return total == 0
+def aligned(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the banded alignment of two shingle sequences reaches the similarity."""
+    total, short = len(x) + len(y), min(len(x), len(y))
     need = int(needed(total, least))
-    if min(len(x), len(y)) < need or sum((Counter(x) & Counter(y)).values()) < need:
+    if short < need:
         return False
-    head = 0
-    while head < min(len(x), len(y)) and x[head] == y[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    band = total - 2 * need + 1
-    rest = common_in_band(x[head : len(x) - tail], y[head : len(y) - tail], band)
+    differ = np.flatnonzero(x[:short] != y[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(x[len(x) - short + head :][::-1] != y[len(y) - short + head :][::-1])
+    tail = int(differ[0]) if len(differ) else short - head
+    if head + tail >= need:
+        return True
+    rest = common_in_band(x[head : len(x) - tail].tolist(), y[head : len(y) - tail].tolist(), total - 2 * need + 1)
     return head + tail + rest >= need
 
 
+class Shingled:
+    """A text's shingles in order, and labelled and sorted."""
+
+    def __init__(self, text: str | None, hashes: WordHashes):
+        self.order = shingle_hashes(hashes(tokens(text)))
+        self.labelled = np.sort(occurrence_labelled(self.order)) if len(self.order) else self.order
+
+    def similar(self, other: Shingled, least: float = SIMILARITY) -> bool:
+        """Whether two texts reach the similarity; texts without words are similar to each other."""
+        a, b = len(self.order), len(other.order)
+        if not a or not b:
+            return a == b
+        need = needed(a + b, least)
+        if min(a, b) < need or len(np.intersect1d(self.labelled, other.labelled, assume_unique=True)) < need:
+            return False
+        return aligned(self.order, other.order, least)
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest of the words, number of shingles, sketches, profile) for each row with an id."""
+    """(id, digest of the words, number of shingles, sketches, smallest shingles of short texts) for each row with an id."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, none = WordHashes(), np.zeros(0, np.int64)
         for batch in batches:
-            keys, counts, found, profiles = [], [], [], []
+            keys, counts, found, small = [], [], [], []
             for value in batch.column(1):
                 row = tokens(value.as_py())
                 keys.append(hashlib.blake2b(" ".join(row).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                counts.append(max(len(row) - SHINGLE + 1, min(len(row), 1)))
-                shingles = shingle_hashes(hashes(row))
-                found.append(sketches(shingles).view(np.int64))
-                profiles.append(profile_of(shingles))
+                n = max(len(row) - SHINGLE + 1, min(len(row), 1))
+                shingles = shingle_hashes(hashes(row)) if n >= LEAST else none
+                counts.append(n)
+                found.append(sketches(shingles).view(np.int64) if n >= LONG else none)
+                small.append(smallest(shingles).view(np.int64) if LEAST <= n <= SHORT else none)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
-                names=["id", "key", "shingles", "sketches", "profile"],
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, longs), pa.array(small, longs)],
+                names=["id", "key", "shingles", "sketches", "smallest"],
             )
 
-    return rows.mapInArrow(run, "id long, key binary, shingles long, sketches array<long>, profile binary")
+    return rows.mapInArrow(run, "id long, key binary, shingles long, sketches array<long>, smallest array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -207,13 +251,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = first.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, None)
+        hashes, known, own = WordHashes(), None, None
         for batch in batches:
             keep = []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if known[0] != a:
-                    known = (a, tokens(x.as_py()))
-                keep.append(similarity_at_least(known[1], tokens(y.as_py())))
+                if own is None or known != a:
+                    known, own = a, Shingled(x.as_py(), hashes)
+                keep.append(own.similar(Shingled(y.as_py(), hashes)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -240,55 +284,88 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def bucketed(classes: DataFrame) -> DataFrame:
-    """(bucket, id): a bucket is a sketch and a length class; each text is in its class and the next."""
-    length = F.floor(F.log("shingles") / F.lit(-float(np.log(SIMILARITY)))).cast("int")
-    rows = classes.filter("shingles > 0").select(F.col("rep").alias("id"), length.alias("c"), F.posexplode("sketches").alias("band", "sketch"))
-    both = F.explode(F.array(F.xxhash64("band", "sketch", "c"), F.xxhash64("band", "sketch", F.col("c") + 1)))
-    return rows.select("id", both.alias("bucket"))
+def length_class(n):
+    return F.floor(F.log(n) / F.lit(-float(np.log(SIMILARITY)))).cast("int")
 
 
-def narrowed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, id) of narrower buckets: two sketches of a text and a length class."""
-    n = SKETCHES
-    pairs = F.array(*[F.struct(F.lit(k).alias("i"), F.lit((k + step) % n).alias("j")) for step in (1, 2, 3) for k in range(n)])
-    length = F.floor(F.log("shingles") / F.lit(-float(np.log(SIMILARITY)))).cast("int")
-    some = classes.select(F.col("rep").alias("id"), length.alias("c"), "sketches").join(members.select("id").distinct(), "id", "left_semi")
-    rows = some.select("id", "c", F.explode(F.transform(pairs, lambda p: F.xxhash64(p["i"], p["j"], F.get("sketches", p["i"]), F.get("sketches", p["j"])))).alias("two"))
-    return rows.select("id", F.explode(F.array(F.xxhash64("two", "c"), F.xxhash64("two", F.col("c") + 1))).alias("bucket"))
+def bucketed(classes: DataFrame) -> DataFrame:
+    """(bucket, id, n, band, level): a bucket is a sketch (or a smallest shingle) and a length class, its level; each text is in its class and the next."""
+    keys = F.concat(
+        F.transform("sketches", lambda x, k: F.struct(k.alias("band"), x.alias("x"))), F.transform("smallest", lambda x: F.struct(F.lit(SKETCHES).alias("band"), x.alias("x")))
+    )
+    rows = classes.filter(f"shingles >= {LEAST}").select(F.col("rep").alias("id"), F.col("shingles").alias("n"), F.explode(keys).alias("k"))
+    levels = rows.select("id", "n", "k.band", "k.x", F.explode(F.array(length_class("n"), length_class("n") + 1)).alias("level"))
+    return levels.select(F.xxhash64("band", "x", "level").alias("bucket"), "id", "n", "band", "level")
 
 
-def possible(apart: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of a bucket in different components that can be similar by their lengths and profiles, none left out.
+def linked_in_square(ids, block, component, n, level: int, band: int, lo: int, hi: int, sketched_rows: list, texts: list, hashes: WordHashes) -> list[tuple[int, int]]:
+    """Links that join all similar texts of two blocks (or one) of a bucket.
 
-    apart: (bucket, id, c, size). A bucket's texts are dealt to blocks; a square of two blocks is one group of rows.
+    Every pair of different components whose first common bucket this is gets counted; see the module's third step.
     """
-    wide = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rows = apart.select("bucket", "id", "c", wide.alias("wide"), F.pmod(F.xxhash64("id", F.lit(1)), wide).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("other")
-    rows = rows.select("bucket", "id", "c", "own", other).select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "c")
-    rows = rows.join(classes.select(F.col("rep").alias("id"), "shingles", "profile"), "id").select("bucket", "lo", "hi", "own", "id", "c", "shingles", "profile")
+    found = [Shingled(text, hashes) for text in texts]
+    sizes = np.array([len(x.order) for x in found])
+    owner = np.repeat(np.arange(len(found)), sizes)
+    _, symbol = np.unique(np.concatenate([x.labelled for x in found]), return_inverse=True)
+    by_symbol = np.argsort(symbol, kind="stable")
+    posted, ends = owner[by_symbol], np.cumsum(np.bincount(symbol))
+    starts = np.r_[0, ends[:-1]]
+    heads = np.r_[0, np.cumsum(sizes)]
+    own_class = np.floor(np.log(n) / -np.log(SIMILARITY)).astype(int)
+    marks = np.array([x if len(x) == SKETCHES else [0] * SKETCHES for x in sketched_rows], np.int64)[:, : band if band < SKETCHES else 0]
+    root = np.unique(component, return_inverse=True)[1]
+    main = root == np.bincount(root).argmax()  # as it was; components grow meanwhile
+    links = []
+    for k in np.flatnonzero((block == lo) if lo != hi else ~main):
+        others = (root != root[k]) & (block == hi) & (np.maximum(own_class, own_class[k]) == level)
+        if lo == hi:  # a pair of two that are walked through is met at the first
+            others[:k] &= main[:k]
+        met = np.flatnonzero(others)
+        need = needed(n[k] + n[met])
+        fits = np.minimum(n[met], n[k]) >= need
+        if marks.shape[1]:
+            fits &= ~(marks[met] == marks[k]).any(axis=1)
+        met, need = met[fits], need[fits]
+        if not len(met):
+            continue
+        common = np.bincount(np.concatenate([posted[starts[s] : ends[s]] for s in symbol[heads[k] : heads[k + 1]]]), minlength=len(found))[met]
+        for j in met[common >= need][np.argsort(-common[common >= need], kind="stable")]:
+            if root[j] != root[k] and aligned(found[k].order, found[j].order):
+                links.append((int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))))
+                root[root == root[j]] = root[k]
+    return links
+
+
+def closed(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join all similar texts within each bucket. apart: (bucket, id, n, band, level, c), c the component; texts: (id, text, sketches)."""
+    held = materialise(apart.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("words")), "bucket-components")
+    blocks = lambda rows, words: F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(words / F.lit(BLOCK_SHINGLES))).cast("int")
+    whole = held.groupBy("bucket").agg(F.sum("k").alias("rows"), F.sum("words").alias("words"), F.max(F.struct("k", "c", "words")).alias("main"))
+    whole = whole.select(
+        "bucket", F.col("main.c").alias("main"), (blocks(F.col("rows"), F.col("words")) == 1).alias("one"),
+        F.greatest(blocks(F.col("rows") - F.col("main.k"), F.col("words") - F.col("main.words")), F.lit(1)).alias("rest"), blocks(F.col("main.k"), F.col("main.words")).alias("mains"),
+    )
+    rows = apart.join(materialise(whole, "bucket-plans"), "bucket")
+    in_main = ~F.col("one") & (F.col("c") == F.col("main"))
+    drawn = lambda many: F.pmod(F.xxhash64("id", F.lit(1)), many).cast("int")
+    block = F.when(F.col("one"), F.lit(0)).when(in_main, F.col("rest") + drawn(F.col("mains"))).otherwise(drawn(F.col("rest")))
+    last = F.when(F.col("one"), F.lit(0)).when(in_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1)
+    rows = rows.select("bucket", "id", "n", "band", "level", "c", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    rows = rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "n", "band", "level", "c", "block")
+    rows = rows.join(texts, "id").select("bucket", "lo", "hi", "id", "n", "band", "level", "c", "block", "sketches", "text")
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
-    def square(lo: int, hi: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
-        own, ids, c, n = (group.column(k).to_numpy() for k in ("own", "id", "c", "shingles"))
-        raw = group.column("profile").to_pylist()
-        full = np.array([len(x) == BINS for x in raw])
-        bins = np.frombuffer(b"".join(x or bytes(BINS) for x in raw), np.uint8).reshape(-1, BINS)
-        columns = np.flatnonzero(own == hi)
-        for k in np.flatnonzero(own == lo):
-            need = needed(n[k] + n[columns])
-            met = columns[(c[columns] != c[k]) & (np.minimum(n[k], n[columns]) >= need) & ((lo != hi) | (columns > k))]
-            if not len(met):
-                continue
-            most = np.minimum(bins[met], bins[k]).sum(axis=1, dtype=np.int64)
-            met = met[(most >= needed(n[k] + n[met])) | ~full[met] | (not full[k])]
-            if len(met):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[met], ids[k])), pa.array(np.maximum(ids[met], ids[k]))], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         held: list[pa.RecordBatch] = []
         last = None
+
+        def square() -> pa.RecordBatch:
+            group = pa.Table.from_batches(held)
+            ids, n, band, level, c, block = (group.column(k).to_numpy() for k in ("id", "n", "band", "level", "c", "block"))
+            links = linked_in_square(ids, block, c, n, int(level[0]), int(band[0]), last[1], last[2], group.column("sketches").to_pylist(), group.column("text").to_pylist(), hashes)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -297,58 +374,37 @@ def possible(apart: DataFrame, classes: DataFrame) -> DataFrame:
             for at, end in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
                 key = tuple(int(x) for x in keys[:, at])
                 if held and key != last:
-                    yield from square(last[1], last[2], pa.Table.from_batches(held))
+                    yield square()
                     held = []
                 held.append(batch.slice(at, end - at))
                 last = key
         if held:
-            yield from square(last[1], last[2], pa.Table.from_batches(held))
+            yield square()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exhaustive: bool = True) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: id, class_id (the smallest id of its group), kept (whether it is that one)."""
     rows = materialise(sketched(df, id_col, text_col), "sketches")
-    classes = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches"), F.first("profile").alias("profile"))
+    classes = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("shingles").alias("shingles"), F.first("sketches").alias("sketches"), F.first("smallest").alias("smallest"))
     classes = materialise(classes, "classes")
     placed = bucketed(classes)
-    crowded = placed.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = materialise(placed.join(materialise(crowded, "buckets"), "bucket"), "bucket-members")
-    named = members.select("id").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(named, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "bucket-texts")
-
-    def ordered(a, b, pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
-
-    def labelled(buckets: DataFrame) -> DataFrame:
-        return buckets.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"), *[x for x in ("size",) if x in buckets.columns])
-
-    def mixed(buckets: DataFrame, leader) -> DataFrame:
-        """Buckets whose texts lie in different components, with a leader and its component."""
-        return buckets.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(leader.alias("h"), "id", "c")).alias("l")).filter("c0 <> c1").select("bucket", F.col("l.id").alias("a"), F.col("l.c").alias("ca"))
-
-    tried = materialise(ordered(F.col("leader"), F.col("id"), members), "pairs")
-    links = materialise(verified(tried, texts), "links")
+    crowded = placed.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size"), F.max(length_class("n") == F.col("level")).alias("own")).filter("size > 1 AND own")
+    members = materialise(placed.join(materialise(crowded.select("bucket", "leader", "size"), "buckets"), "bucket"), "bucket-members")
+    named = members.select("id").distinct().join(classes.select(F.col("rep").alias("id"), "sketches"), "id")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(named.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = materialise(texts.join(named, "id"), "bucket-texts")
+
+    pairs = members.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).filter("a <> b").distinct()
+    links = materialise(verified(pairs, texts), "links")
     found = materialise(components(links), "components")
-    for turn in ("random", "narrow", "direct") if exhaustive else ("random", "narrow"):
-        # buckets of two are settled by now
-        inside = labelled(members.filter("size > 2"))
-        open_buckets = materialise(mixed(inside, F.xxhash64("id")), "open-buckets")
-        if turn == "random":
-            pairs = ordered(F.col("a"), F.col("id"), inside.join(open_buckets, "bucket").filter("c <> ca"))
-        elif turn == "narrow":
-            narrow = materialise(labelled(narrowed(inside.join(open_buckets, "bucket", "left_semi"), classes)), "narrow-members")
-            pairs = ordered(F.col("a"), F.col("id"), narrow.join(materialise(mixed(narrow, F.col("id")), "narrow-buckets"), "bucket").filter("c <> ca"))
-        else:
-            pairs = possible(inside.join(open_buckets, "bucket", "left_semi"), classes)
-        fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(verified(fresh, texts), "links")
-        tried = tried.unionByName(fresh)
-        if not more.limit(1).isEmpty():
-            links = links.unionByName(more)
-            found = materialise(components(links), "components")
+    # buckets of two are settled by now
+    inside = members.filter("size > 2").join(found, "id", "left").select("bucket", "id", "n", "band", "level", F.coalesce("component", "id").alias("c"))
+    open_buckets = materialise(inside.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("bucket"), "open-buckets")
+    more = materialise(closed(inside.join(open_buckets, "bucket", "left_semi"), texts), "links")
+    if not more.limit(1).isEmpty():
+        found = materialise(components(links.unionByName(more)), "components")
 
     # classes whose name isn't simply each row's own id
     named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").filter("n > 1 OR component IS NOT NULL")
@@ -359,7 +415,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 
 def keep_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with the columns that came in."""
+    """One row of each group, with the columns that came in; rows that repeat an id leave the one with the smallest text."""
     dropped = near_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_hz_id")).distinct()
     dropped = materialise(dropped, "near-dropped")
-    return df.join(dropped, F.col(id_col) == F.col("_hz_id"), "left_anti")
+    return without_repeats(df.join(dropped, F.col(id_col) == F.col("_hz_id"), "left_anti"), [id_col], F.col(text_col))
