@@ -50,6 +50,12 @@ def flipped(box: Column, width: Column) -> Column:
     return F.array(width - _side(box, 2), _side(box, 1), width - _side(box, 0), _side(box, 3))
 
 
+def maybe_flipped(box: Column, width: Column, key: Column, seed: int = 42, share: float = 0.5) -> Column:
+    """The box in the mirrored image for a share of the keys, chosen by a hash of seed and key, so that all boxes of an image agree and reruns repeat."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.when(drawn < F.lit(int(share * (1 << 32))), flipped(box, width)).otherwise(box)
+
+
 def repaired(box: Column) -> Column:
     """Whole numbers within the grid, in order, at least one apart where the grid allows; other lengths stay as they are."""
     put = [F.greatest(F.lit(0), F.least(F.lit(GRID), F.bround(_side(box, k)).cast("int"))) for k in range(4)]

@@ -82,6 +82,14 @@ def json_object(text: Column, fenced_first: bool = True) -> Column:
     return F.coalesce(fence, whole, braces) if fenced_first else F.coalesce(whole, fence, braces)
 
 
+def served_json(text: Column) -> Column:
+    """The JSON of any type in an answer as served: the whole text, else a code fence, else from the first to the last brace, else a record of the failure."""
+    valid = lambda c: F.when(F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull(), F.to_json(F.try_parse_json(F.nullif(c, F.lit("")))))
+    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.+?)\s*```", 1)
+    failure = F.to_json(F.struct(text.alias("parse_failure"), F.array().cast("array<string>").alias("hazards")))
+    return F.coalesce(valid(F.trim(text)), valid(fence), valid(F.regexp_extract(text, r"(?s)\{.*\}", 0)), failure)
+
+
 def judged_score(text: Column) -> Column:
     """The score in a judge's answer: the JSON field, else the first ``"score": n`` with n from 1 to 5, else 1."""
     field = F.try_variant_get(F.try_parse_json(json_object(text)), "$.score", "int")

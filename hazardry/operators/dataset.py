@@ -71,20 +71,29 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("_hz_key")).agg(F.max_by(rows, F.col(order)).alias("_hz_row")).select("_hz_row.*")
 
 
-def stratified_split(df: DataFrame, id_col: str, strata: list[str], train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """A split column with the ratios kept in each stratum.
+def stratified_split(df: DataFrame, id_col: str, strata: list[str], train: float = 0.8, val: float = 0.1, seed: int = 42, least: int = 10) -> DataFrame:
+    """A split column with the ratios kept in each stratum; tables of less than ``least`` rows are split in the order of their ids.
 
     Order within a stratum is that of md5(seed, id); thresholds are rounded half up. The same rows always fall into the same splits.
+    A stratum may be of any size: rows are ranked within 4,096 ranges of the hash, whose counts are added up before.
     """
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order, id_col))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    return _cut(df.withColumns({"_hz_k": place, "_hz_n": n}), train, val)
+    if df.limit(least).count() < least:
+        return sequential_split(df, [id_col], train, val)
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    rows = df.withColumns({"_hz_h": hashed, "_hz_s": F.to_json(F.struct(*strata), {"ignoreNullFields": "false"})}).withColumn("_hz_b", F.substring("_hz_h", 1, 3))
+    counts = rows.groupBy("_hz_s", "_hz_b").agg(F.count(F.lit(1)).alias("_hz_c"))
+    whole = Window.partitionBy("_hz_s")
+    before = F.coalesce(F.sum("_hz_c").over(whole.orderBy("_hz_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_hz_s", "_hz_b", before.alias("_hz_before"), F.sum("_hz_c").over(whole).alias("_hz_n"))
+    place = F.row_number().over(Window.partitionBy("_hz_s", "_hz_b").orderBy("_hz_h", id_col))
+    ranked = rows.withColumn("_hz_in", place).join(counts, ["_hz_s", "_hz_b"]).withColumn("_hz_k", F.col("_hz_in") + F.col("_hz_before"))
+    return _cut(ranked, train, val).select(*df.columns, "split")
 
 
 def hashed_split(df: DataFrame, id_col: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """A split column by hash thresholds: ratios hold in expectation in every stratum, and nothing is shuffled (for huge strata)."""
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    share = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     return df.withColumn("split", F.when(share < train, "train").when(share < train + val, "val").otherwise("test"))
 
 
@@ -127,6 +136,26 @@ def available(frames: DataFrame, listing: DataFrame, path: str = "image_path", n
     return frames.join(files, F.element_at(F.split(path, "/"), -1) == F.col("_hz_name"), "left_semi" if present else "left_anti")
 
 
+def image_paths(frames: DataFrame, files: DataFrame, folder: str, images: str, id_col: str = "sample_token") -> DataFrame:
+    """(id, image): the exported path (below ``folder`` if relative) where that file is there, else the camera file's name below ``images`` if that is, else null.
+
+    frames: id, exported_image_path, cam_front_path; files: the paths that are there.
+    """
+    told = F.nullif("exported_image_path", F.lit(""))
+    first = F.when(told.startswith("/"), told).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), told))
+    second = F.concat(F.lit(images.rstrip("/") + "/"), F.element_at(F.split(F.nullif("cam_front_path", F.lit("")), "/"), -1))
+    there = lambda name: files.select(F.col("path").alias(name)).distinct()
+    rows = frames.select(id_col, first.alias("_hz_1"), second.alias("_hz_2"))
+    met = rows.join(there("_hz_f1"), F.col("_hz_1") == F.col("_hz_f1"), "left").join(there("_hz_f2"), F.col("_hz_2") == F.col("_hz_f2"), "left")
+    return met.select(id_col, F.coalesce("_hz_f1", "_hz_f2").alias("image"))
+
+
+def with_images(frames: DataFrame, paths: DataFrame, id_col: str = "frame_id") -> DataFrame:
+    """Frames with image_path from (id, image) where that knows one, their own else."""
+    known = paths.select(F.col(paths.columns[0]).alias("_hz_id"), F.col("image").alias("_hz_image"))
+    return frames.join(known, F.col(id_col) == F.col("_hz_id"), "left").withColumn("image_path", F.coalesce("_hz_image", "image_path")).drop("_hz_id", "_hz_image")
+
+
 def training_view(df: DataFrame, prompt: str) -> DataFrame:
     """frame_id, prompt, first annotation as JSON (or {}), metadata."""
     first = F.get("annotations", F.lit(0))

@@ -35,9 +35,13 @@ def active(hazards: Column) -> Column:
 
 
 def paired(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """Each prediction (row number ``pred_row``) with the last truth of its frame. Columns: frame_id, hazards, parse_failure; truth also ord."""
+    """Each prediction (``pred_row``, unless there, is its frame and its place among the frame's predictions) with the last truth of its frame.
+
+    Columns: frame_id, hazards, parse_failure; truth also ord. Predictions that agree in all of these may swap places, so the rows don't depend on partitions.
+    """
     last = last_wins(truth.select("frame_id", F.col("hazards").alias("true_hazards"), "ord"), "frame_id", "ord").drop("ord")
-    rows = predictions.withColumn("pred_row", F.monotonically_increasing_id() if "pred_row" not in predictions.columns else F.col("pred_row"))
+    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("parse_failure", F.to_json("hazards")))
+    rows = predictions if "pred_row" in predictions.columns else predictions.withColumn("pred_row", F.concat_ws("#", F.col("frame_id").cast("string"), place))
     return rows.join(last, "frame_id", "left").select(
         "pred_row", "frame_id", F.coalesce("parse_failure", F.lit(False)).alias("parse_failure"), active(F.col("hazards")).alias("pred"), active(F.col("true_hazards")).alias("true")
     )
@@ -129,8 +133,9 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
         return counts.select(c, (below + (F.col("n") + 1) / 2).alias(name))
 
     met = rows.join(ranked(rows, a, "ra"), a).join(ranked(rows, b, "rb"), b)
-    value = F.corr("ra", "rb")
-    return met.agg(F.count(F.lit(1)).alias("n"), F.round(F.when((F.count(F.lit(1)) >= 3) & value.isNotNull() & ~F.isnan(value), value).otherwise(0.0), 4).alias("spearman"))
+    # not corr(), which divides by zero where all values of a side are equal
+    value = F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))
+    return met.agg(F.count(F.lit(1)).alias("n"), F.round(F.when(F.count(F.lit(1)) >= 3, F.coalesce(value, F.lit(0.0))).otherwise(0.0), 4).alias("spearman"))
 
 
 def severity_metrics(found: DataFrame) -> DataFrame:
@@ -200,6 +205,20 @@ def strata(rows: DataFrame, keys: list[str], tp: str = "tp", fn: str = "fn") ->
     )
 
 
+def stratified(predictions: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.5, method: str = "optimal") -> DataFrame:
+    """strata() of matched events. Every frame with truth (its last) counts in its strata, with or without a prediction; predictions of other frames don't count."""
+    known = last_wins(truth.select("frame_id", *keys, "ord"), "frame_id", "ord").drop("ord")
+    found = events(paired(predictions.join(known.select("frame_id"), "frame_id", "left_semi"), truth), threshold, method)
+    counts = found.groupBy("frame_id").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("tp", "fn")])
+    return strata(known.join(counts, "frame_id", "left").na.fill(0, ["tp", "fn"]), keys)
+
+
+def speed_ups(stats: DataFrame, base: str, name: str = "name", mean: str = "mean_ms") -> DataFrame:
+    """(name, speed_up): the base's mean over each other's, to two digits; null where either isn't positive. stats is small: a row for each variant."""
+    slow = F.max(F.when(F.col(name) == base, F.col(mean))).over(Window.partitionBy(F.lit(1)))
+    return stats.withColumn("_hz_base", slow).filter(F.col(name) != base).select(name, F.round(F.when((F.col("_hz_base") > 0) & (F.col(mean) > 0), F.col("_hz_base") / F.col(mean)), 2).alias("speed_up"))
+
+
 def gaps(groups: DataFrame) -> DataFrame:
     """Per key: largest less smallest rate over non-empty groups (0 below two groups), best and worst group."""
     some = groups.filter("n_frames > 0")
@@ -243,6 +262,24 @@ def degradation(before: Column, after: Column) -> Column:
     return F.when(before > 0, F.round((before - after) / before * 100, 3)).otherwise(0.0)
 
 
+def nested_metrics(df: DataFrame) -> DataFrame:
+    """(metric, value) of rows with nested structs of numbers, named a/b/c by their fields; nulls, texts, arrays and maps are left out."""
+    from pyspark.sql.types import BooleanType, NumericType, StructType
+
+    found: list[tuple[str, str]] = []
+
+    def walk(fields, name: str, path: str) -> None:
+        for field in fields:
+            if isinstance(field.dataType, StructType):
+                walk(field.dataType.fields, f"{name}{field.name}/", f"{path}`{field.name}`.")
+            elif isinstance(field.dataType, (NumericType, BooleanType)):
+                found.append((name + field.name, f"{path}`{field.name}`"))
+
+    walk(df.schema.fields, "", "")
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(p).cast("double").alias("value")) for n, p in found])
+    return df.select(F.inline(rows)).filter("value IS NOT NULL")
+
+
 def report(*tables: tuple[str, DataFrame]) -> DataFrame:
     """One tidy table (level, metric, value) of one-row metric tables."""
     def tidy(level: str, df: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def sheet(df: DataFrame) -> DataFrame:
     field = lambda n: F.col(n).cast("string") if n in known.columns else F.lit(None).cast("string")
     return known.select(
         F.concat_ws("/", zfill(field("category"), 3), zfill(field("sequence"), 3)).alias("key"),
-        field("accident_frame").try_cast("double").cast("int").alias("accident_frame"),
+        field("accident_frame").try_cast("double").try_cast("int").alias("accident_frame"),
         F.coalesce(field("description"), F.lit("")).alias("description"),
         field("weather").alias("weather"),
         field("time_of_day").alias("time_of_day"),

@@ -5,6 +5,8 @@ Existence is asked of the file system that Spark uses, so every path that Spark
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +34,9 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parquet with an explicit schema; a missing path is empty."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else empty(spark, schema)
+def parquet(spark: SparkSession, path: str, schema: str, lenient: bool = False) -> DataFrame:
+    """Parquet with an explicit schema; a missing path is empty. ``lenient`` leaves unreadable files out too."""
+    return spark.read.schema(schema).option("ignoreCorruptFiles", lenient).parquet(path) if exists(spark, path) else empty(spark, schema)
 
 
 def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -87,7 +89,9 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     spoken = F.filter(F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: json_object(m["content"])), lambda x: x.isNotNull())
     answer = F.from_json(F.get(spoken, F.lit(0)), f"hazards {_HAZARDS}")["hazards"]
     return rows.select(
-        "frame_id", F.coalesce(answer, "hazards", "annotations.hazards", "annotation.hazards", F.array().cast(_HAZARDS)).alias("hazards"), F.monotonically_increasing_id().alias("ord"),
+        "frame_id", F.coalesce(answer, "hazards", "annotations.hazards", "annotation.hazards", F.array().cast(_HAZARDS)).alias("hazards"), 
+        # the place in the files: numbers alone would follow the splits' order, which is by size
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"),
         F.col("ego_context.weather").alias("weather"), F.col("ego_context.time_of_day").alias("time_of_day"), F.col("metadata.location").alias("location"),
         F.col("metadata.ego_speed_kmh").alias("ego_speed_kmh"), F.coalesce("source", "metadata.source").alias("source"),
     )
@@ -144,6 +148,26 @@ def file_statistics(spark: SparkSession, root: str) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("length") / 2**30, 6).alias("gib"))
 
 
+#: Files that hold a model's weights, the first kind that is there counts; its configurations.
+WEIGHTS, CONFIG, QUANT_CONFIG = ("safetensors", "bin"), "config.json", "quant_config.json"
+
+
+def model_statistics(spark: SparkSession, root: str, bits: int = 4) -> DataFrame:
+    """One row of a model's folder: weight files, bytes, GiB (3 digits), compression against 16 bits, md5 of the configuration ("" without one), quantised layers."""
+    listing = spark.read.format("binaryFile").load(root).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    kind = F.element_at(F.split("name", r"\."), -1)
+    first = listing.filter(kind == WEIGHTS[0]).limit(1).isEmpty()
+    weights = listing.filter(kind == WEIGHTS[int(first)]).agg(F.count(F.lit(1)).alias("weight_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+    read = lambda name: (spark.read.format("binaryFile").load(f"{root}/{name}").select("content").first().content if exists(spark, f"{root}/{name}") else b"")
+    config, quant = bytes(read(CONFIG)), bytes(read(QUANT_CONFIG))
+    layers = json.loads(quant).get("num_quantized_layers", 0) if quant else 0
+    gib = F.col("size_bytes") / F.lit(2.0**30)
+    return weights.select(
+        "weight_files", "size_bytes", F.round(gib, 3).alias("size_gb"), F.when(F.col("size_bytes") > 0, F.lit(round(16 / bits, 2))).otherwise(1.0).alias("compression_ratio"),
+        F.lit(hashlib.md5(config).hexdigest() if config else "").alias("config_hash"), F.lit(layers).alias("quantized_layers"),  # noqa: S324  a fingerprint
+    )
+
+
 def together(*parts: tuple[str, DataFrame], tag: str = "split") -> DataFrame:
     """Several tables in one, each with its tag where it has none."""
     tagged = [df.withColumn(tag, F.coalesce(F.col(tag), F.lit(name)) if tag in df.columns else F.lit(name)) for name, df in parts]
