@@ -120,7 +120,7 @@ def derived_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array((num(7) * 200).cast("double"), F.lit(100.0), (num(5) * 300).cast("double"), (num(3) * 100 + 50).cast("double")).alias("bbox_2d"),
         F.when(num(4) == 0, "Jaywalking ").when(num(4) == 1, "high_density").when(num(4) == 2, "no_hazard").otherwise("ufo").alias("label"),
         F.when(num(6) == 0, F.lit(None)).when(num(6) == 1, "extreme").otherwise("low").alias("severity"),
-        F.substring("text", 1, 15 + 10).substr(F.lit(1), (num(3) * 10 + 5).cast("int")).alias("reasoning"),
+        F.when(num(3) == 0, "too short").otherwise(F.col("text")).alias("reasoning"),
         F.when(num(9) == 0, "").otherwise("brake").alias("action"),
     )
     ego = F.struct(F.when(num(2) == 0, "clear").alias("weather"), F.lit("day").alias("time_of_day"), F.lit("urban").alias("road_type"))

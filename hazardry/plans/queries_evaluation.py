@@ -26,7 +26,7 @@ def _frames(spark, sf_dir):
         (F.pmod(F.max("vec_id"), F.lit(20)) == 3).alias("parse_failure"),
     )
     predictions = grouped.select("frame_id", "hazards", "parse_failure")
-    truth = grouped.filter("cast(frame_id AS INT) % 9 <> 0").select("frame_id", F.col("true_hazards").alias("hazards"), F.lit(0).alias("ord"))
+    truth = grouped.select("frame_id", F.col("true_hazards").alias("hazards"), F.lit(0).alias("ord"))
     return predictions, truth
 
 
@@ -267,8 +267,8 @@ def quant_degradation(spark, sf_dir):
 
 @query(
     "text_similarity",
-    """WITH p AS (SELECT o.doc_id, substring(o.text, 1, 200) AS a, substring(n.text, 1, 200) AS b FROM documents o JOIN documents n ON n.doc_id = o.doc_id + 1),
-    c AS (SELECT doc_id, a, b, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i])) AS same FROM p)
+    """WITH p AS (SELECT o.doc_id, o.text AS a, n.text AS b FROM documents o JOIN documents n ON n.doc_id = o.doc_id + 1),
+    c AS (SELECT doc_id, a, b, len(list_filter(list_zip(string_split(a, ''), string_split(b, '')), lambda x: x[1] = x[2])) AS same FROM p)
     SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE same::DOUBLE / greatest(length(a), length(b)) END, 6) AS similarity FROM c""",
 )
 def text_similarity(spark, sf_dir):
@@ -305,7 +305,14 @@ def running_stats(spark, sf_dir):
     return quality.running(rows, "value", ["user_id"], ["event_id"], digits=8).select("user_id", "event_id", "running_mean", "running_min")
 
 
-@query("early_stops")
+@query(
+    "early_stops",
+    """WITH e AS (SELECT user_id, event_id, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r,
+                      min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events),
+    g AS (SELECT *, max(CASE WHEN m IS NULL OR v < m THEN r END) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM e),
+    s AS (SELECT user_id, min(event_id) AS stop FROM g WHERE r - last >= 5 GROUP BY 1)
+    SELECT user_id, min(v) AS best, any_value(stop) AS stopped_at FROM e LEFT JOIN s USING (user_id) WHERE stop IS NULL OR event_id <= stop GROUP BY 1""",
+)
 def early_stops(spark, sf_dir):
     return quality.early_stop(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", ["user_id"], "event_id", patience=5)
 
@@ -315,6 +322,22 @@ def prediction_summary(spark, sf_dir):
     return quality.prediction_summary(table(spark, sf_dir, "events").select((F.col("event_type") != "error").alias("parse_success"), F.col("value").alias("generation_time_ms")))
 
 
+@query(
+    "speed_ups",
+    "WITH m AS (SELECT event_type AS name, avg(value) AS mean_ms FROM events GROUP BY 1) SELECT name, round((SELECT mean_ms FROM m WHERE name = 'click') / mean_ms, 2) AS speed_up FROM m WHERE name <> 'click'",
+)
+def speed_ups(spark, sf_dir):
+    stats = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("mean_ms"))
+    return evaluation.speed_ups(stats, "click")
+
+
+@query("stratified_detection")
+def stratified_detection(spark, sf_dir):
+    predictions, truth = _frames(spark, sf_dir)
+    parts = {"time_of_day": F.when(F.pmod(F.col("frame_id").cast("int"), F.lit(2)) == 0, "day").otherwise("night"), "weather": F.when(F.pmod(F.col("frame_id").cast("int"), F.lit(5)) == 0, "rain").otherwise("clear")}
+    return evaluation.stratified(predictions, truth.withColumns(parts), list(parts))
+
+
 @query("judged_pairs")
 def judged_pairs(spark, sf_dir):
     pairs = evaluation.paired(*_frames(spark, sf_dir)).filter("NOT parse_failure")

@@ -146,9 +146,9 @@ def judged_scores(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.judged_score(raw).alias("score"))
 
 
-@query("label_masks", "SELECT conv_id, turn, length(text) AS n, CASE WHEN instr(text, ' t') > 0 THEN instr(text, ' t') + 1 ELSE length(text) END AS start FROM conversations WHERE length(text) BETWEEN 2 AND 400")
+@query("label_masks", "SELECT conv_id, turn, length(text) AS n, CASE WHEN instr(text, ' t') > 0 THEN instr(text, ' t') + 1 ELSE length(text) END AS start FROM conversations")
 def label_masks(spark, sf_dir):
-    # the SQL still keeps texts of 2 to 400 characters only; a null text has null counts, an empty one no ids
+    # a null text has null counts, an empty one no ids
     letters = F.when(F.length("text") == 0, F.array().cast("array<string>")).otherwise(F.split("text", ""))
     ids = F.transform(letters, lambda c: F.when(c == " ", 1).when(c == "t", 2).otherwise(0))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids"))
@@ -192,7 +192,10 @@ def sequential_split(spark, sf_dir):
     return dataset.sequential_split(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"])
 
 
-@query("hashed_split")
+@query(
+    "hashed_split",
+    "WITH h AS (SELECT o_orderkey, ('0x' || substring(md5('42:' || o_orderkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS s FROM orders) SELECT o_orderkey, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.8::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'test' END AS split FROM h",
+)
 def hashed_split(spark, sf_dir):
     return dataset.hashed_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
@@ -318,7 +321,7 @@ WITH a AS (
          (doc_id % 7 * 200)::DOUBLE AS x1, (doc_id % 5 * 300)::DOUBLE AS x2, (doc_id % 3 * 100 + 50)::DOUBLE AS y2,
          CASE doc_id % 4 WHEN 0 THEN 'Jaywalking ' WHEN 1 THEN 'high_density' WHEN 2 THEN 'no_hazard' ELSE 'ufo' END AS label,
          CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'extreme' ELSE 'low' END AS severity,
-         substring(substring(text, 1, 25), 1, (doc_id % 3 * 10 + 5)::INTEGER) AS reasoning, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'brake' END AS action,
+         CASE WHEN doc_id % 3 = 0 THEN 'too short' ELSE text END AS reasoning, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'brake' END AS action,
          CASE WHEN doc_id % 5 = 0 THEN 'counterfactual' ELSE 'real' END AS mode
   FROM documents
 ),
@@ -338,7 +341,7 @@ def _errors_sql(label: str, x1: str, y1: str, x2: str, y2: str, summary: str, eg
         f"CASE WHEN NOT empty AND {y1} >= {y2} THEN 'hazards[0].bbox_2d y1 (' || {show(y1)} || ') >= y2 (' || {show(y2)} || ')' END",
         f"CASE WHEN NOT empty AND {label} NOT IN ({labels}) THEN 'hazards[0].label ''' || {label} || ''' not in VALID_LABELS' END",
         "CASE WHEN NOT empty AND coalesce(severity, '') NOT IN ('critical', 'high', 'medium', 'low') THEN 'hazards[0].severity ''' || coalesce(severity, '') || ''' not in VALID_SEVERITIES' END",
-        "CASE WHEN NOT empty AND length(reasoning) < 20 THEN 'hazards[0].reasoning too short (< 20 chars)' END",
+        "CASE WHEN NOT empty AND length(coalesce(reasoning, '')) < 20 THEN 'hazards[0].reasoning too short (< 20 chars)' END",
         "CASE WHEN NOT empty AND action = '' THEN 'hazards[0].action is empty' END",
         f"CASE WHEN {ego} AND NOT {weather} THEN 'ego_context missing key: ''weather''' END",
         f"CASE WHEN NOT {summary} THEN '''scene_summary'' is empty or missing' END",
@@ -420,6 +423,39 @@ def template_annotations(spark, sf_dir):
     return found.select("frame_id", F.get("annotation.hazards", F.lit(0))["label"].alias("label"), F.size("validation_errors").alias("n_errors"), F.col("annotation.ego_context.weather").alias("weather"))
 
 
+@query(
+    "annotation_diversity",
+    _MENDED + """, s AS (SELECT lang FROM documents), l AS (SELECT 'label' AS dimension, fl AS value, count(*) AS count FROM r WHERE NOT empty GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 2)
+    SELECT * FROM l UNION ALL SELECT 'severity', coalesce(severity, ''), count(*) FROM r WHERE NOT empty GROUP BY 2 UNION ALL SELECT 'source', coalesce(lang, 'unknown'), count(*) FROM s GROUP BY 2""",
+)
+def annotation_diversity(spark, sf_dir):
+    rows = _results(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("frame_id"), F.col("lang").alias("source")), "frame_id")
+    return annotation.diversity(rows, most=2)
+
+
+@query(
+    "image_path_map",
+    """WITH f AS (SELECT page_id, '/data/' || CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'images/' || page_id || '.png' END AS a, '/cam/' || page_id || '.png' AS b FROM pages),
+    p AS (SELECT CASE WHEN page_id % 2 = 0 THEN '/data/images/' ELSE '/cam/' END || page_id || '.png' AS path FROM pages)
+    SELECT page_id, CASE WHEN a IN (FROM p) THEN a WHEN b IN (FROM p) THEN b END AS image FROM f""",
+)
+def image_path_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat("page_id", F.lit(".png")).alias("_n"))
+    frames = rows.select("page_id", F.when(F.pmod("page_id", F.lit(3)) != 0, F.concat(F.lit("images/"), "_n")).alias("exported_image_path"), F.concat(F.lit("/anywhere/"), "_n").alias("cam_front_path"))
+    files = rows.select(F.concat(F.when(F.pmod("page_id", F.lit(2)) == 0, "/data/images/").otherwise("/cam/"), "_n").alias("path"))
+    return dataset.image_paths(frames, files, "/data", "/cam", "page_id")
+
+
+@query(
+    "bbox_random_flip",
+    BOXES_SQL + """SELECT vec_id, CASE WHEN ('0x' || substring(md5('42:' || vec_id), 1, 8))::BIGINT < 2147483648 THEN [round(5000 - ax2, 6), round(ay1, 6), round(5000 - ax1, 6), round(ay2, 6)]
+    ELSE [round(ax1, 6), round(ay1, 6), round(ax2, 6), round(ay2, 6)] END AS box FROM boxes""",
+)
+def bbox_random_flip(spark, sf_dir):
+    box = geometry.maybe_flipped(F.col("a"), F.lit(5000.0), F.col("vec_id"))
+    return embedded_boxes(spark, sf_dir).select("vec_id", F.transform(box, lambda v: F.round(v, 6)).alias("box"))
+
+
 @query("merged_annotations", "SELECT d.doc_id::VARCHAR AS frame_id, l.quality::VARCHAR AS annotation FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def merged_annotations(spark, sf_dir):
     frames = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("frame_id"))
