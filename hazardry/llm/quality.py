@@ -61,33 +61,25 @@ STANDARD = Policy("1", tuple(name for name, _ in RULES))
 def _repeated(tokens: Column) -> Column:
     """How many words lie in windows of five words that occur twice or more.
 
-    Only texts with an equal pair of window hashes are looked at closely: there hash (40 bits) and place (24 bits)
-    are sorted as one long, and the full hashes of neighbours are compared.
+    Only texts with an equal pair of window hashes are looked at closely: there hashes and places are sorted together, and neighbours compared.
     """
-    place_mask = (1 << 24) - 1
     # item by item: slice() would copy the whole array for each window
     hashes = F.transform(
         F.sequence(F.lit(0), F.size(tokens) - F.lit(WINDOW)), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(WINDOW)])
     )
 
-    def place(packed: Column) -> Column:
-        return packed.bitwiseAND(F.lit(place_mask)).cast("int")
-
     def covered(found: Column) -> Column:
         return F.size(F.array_distinct(F.flatten(F.transform(found, lambda p: F.sequence(p, p + F.lit(WINDOW - 1))))))
 
     def close(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~place_mask)).bitwiseOR(i.cast("long"))))
-
         def doubled(rows: Column) -> Column:
             def same(x: Column, i: Column) -> Column:
-                own = F.get(h, place(x))
-                near = [F.coalesce(F.get(h, place(F.get(rows, i + k))) == own, F.lit(False)) for k in (-1, 1, -2, 2)]
-                return near[0] | near[1] | near[2] | near[3]
+                near = [F.coalesce(F.get(rows, i + k)["h"] == x["h"], F.lit(False)) for k in (-1, 1)]
+                return near[0] | near[1]
 
-            return covered(F.transform(F.filter(rows, same), place))
+            return covered(F.transform(F.filter(rows, same), lambda x: x["i"]))
 
-        return let(packed, doubled)
+        return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), doubled)
 
     counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(close(h)))
     return F.when(F.size(tokens) < WINDOW, F.lit(0)).otherwise(counted)
