@@ -5,13 +5,14 @@ are null count as absent. A registry maps fingerprints to declarative mappings,
 stand; so records of many layouts become canonical turns (id, turn, role, text) without any guess about their contents.
 
 A turn is then formatted by itself, as ``<|turn|>role``, a line end, the text and ``<|end|>`` with a line end. Inside roles and texts a
-backslash is doubled, and one is put after the first character of every control string; reading removes
-a backslash and keeps what follows. A conversation is its turns' segments one after the other, so nothing gathers a
-conversation in memory: digests are taken while sorted rows stream by.
-
-Defined results: a null text or role is empty. Turns that share a number are ordered by role, then text. A record of unknown layout
-gives one row without turn, with its fingerprint in ``unmapped``. An empty table gives an empty result. Other columns are not
-read.
+backslash is doubled, and one is put after the first character of every control string; in a role also before a line end. Reading removes
+a backslash and keeps what follows. A conversation is its turns' segments one after the other; it is read back as one stream of
+characters, which knows nothing of rows (Reader), so nothing gathers a conversation in memory: digests are taken while sorted rows stream by.
+
+Defined results: ids are whole numbers. A null text or role is empty, a null turn number is 0. Turns that share a number are ordered by role, then text;
+repeated rows are turns of their own. A record of unknown layout
+gives one row without turn, with its fingerprint in ``unmapped``; a conversation of only such records has no formatted text, and no row of digests. An empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -130,9 +131,14 @@ def escape(text):
     return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), _CONTROL, r"$0\\")
 
 
+def escape_role(role):
+    """Column: as escape(), and a line end is marked."""
+    return F.regexp_replace(escape(role), "\n", "\\\\\n")
+
+
 def format_turns(turns: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(id, turn, role, segment, loss_from, loss_to): each turn's formatted segment, and which of its characters are learnt."""
-    role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
+    role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     parts = turns.filter("turn IS NOT NULL").select("id", "turn", F.coalesce("role", F.lit("")).alias("role"), role.alias("_hz_r"), text.alias("_hz_t"))
     start = F.length("_hz_r") + F.lit(len(OPEN) + 1)
     learnt = F.col("role").isin(*learn_from)
@@ -147,12 +153,49 @@ def unescape(text: str) -> str:
     return re.sub(r"(?s)\\(.)", r"\1", text)
 
 
+_ROLE_END = re.compile(r"(?s)((?:[^\\\n]|\\.)*)\n")
+
+
 def read_segment(segment: str) -> tuple[str, str]:
     """Role and text of a formatted turn."""
     if not segment.startswith(OPEN) or not segment.endswith(CLOSE):
         raise ValueError("not a turn")
-    role, _, text = segment[len(OPEN) : -len(CLOSE)].partition("\n")
-    return unescape(role), unescape(text)
+    head = _ROLE_END.match(segment, len(OPEN))
+    if head is None or head.end() > len(segment) - len(CLOSE):
+        raise ValueError("a turn without a role")
+    return unescape(head[1]), unescape(segment[head.end() : -len(CLOSE)])
+
+
+class Reader:
+    """Reads formatted conversations back from any pieces of their characters."""
+
+    def __init__(self) -> None:
+        self.waiting: list[str] = []
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """The turns (role, text) that the piece completes. No text holds CLOSE, so the first one ends a turn."""
+        tail = "".join(self.waiting)[-len(CLOSE) :] if self.waiting else ""
+        self.waiting.append(piece)
+        if CLOSE not in tail + piece:
+            return
+        whole = "".join(self.waiting)
+        *turns, rest = whole.split(CLOSE)
+        self.waiting = [rest] if rest else []
+        for turn in turns:
+            yield read_segment(turn + CLOSE)
+
+    def close(self) -> None:
+        """Raises ValueError if a turn has not ended."""
+        if self.waiting:
+            raise ValueError("the conversation breaks off")
+
+
+def read_conversation(text: str) -> list[tuple[str, str]]:
+    """All turns of a formatted conversation."""
+    reader = Reader()
+    found = list(reader.feed(text))
+    reader.close()
+    return found
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -164,8 +207,10 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list = []
         done: list[tuple] = []
+        reader = Reader()
 
         def close() -> None:
+            reader.close()
             done.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
 
         for batch in batches:
@@ -175,10 +220,10 @@ def digests(formatted: DataFrame) -> DataFrame:
                     if now:
                         close()
                     now = [owner, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_segment(segment)
+                for role, text in reader.feed(segment):
+                    now[1] += 1
+                    now[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 learnt = unescape(segment[start:end])
-                now[1] += 1
-                now[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 now[3] += len(learnt)
                 now[4].update(learnt.encode("utf-8", "surrogatepass"))
                 now[5] += len(segment)
