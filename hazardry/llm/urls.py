@@ -1,15 +1,18 @@
 """URL filter: rules, and logistic regression on hashed character n-grams of host and path.
 
-The model is trained on the driver from a small labelled table (a DataFrame of url and label of which at most
-MOST_LABELLED rows are read, or the built-in one) and sent to the executors: 2^16 weights, 512 KB. Rules are column
+The model is trained on the driver from a small labelled table and sent to the executors: 2^16 weights, 512 KB. The table is a DataFrame
+of url and label (1: block), of which at most ``most`` rows are read, those with the smallest hashes, whatever their order; without one, a
+built-in table made by rule stands in for it. ``accuracy`` judges each host by a model of the other hosts. Rules are column
 expressions. Nothing is shuffled.
 
 Defined results: a null url, or one without ``://``, has empty host and path; no rule fits it and the model judges the
-empty host. Repeated rows get a row each. An empty table gives an empty result. Other columns are not read.
+empty host. Repeated rows get a row each. An empty table gives an empty result, an empty labelled table a model that allows nothing and blocks all (0.5). Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardry.llm.common import lower_ascii
+from hazardry.llm.common import LOWER, UPPER, lower_ascii
 
 MOST_LABELLED = 10_000
 DIMENSIONS = 1 << 16
@@ -29,16 +32,18 @@ _ENDS = ("com", "net", "org")
 
 
 def built_in_table() -> list[tuple[str, int]]:
-    """A labelled table by rule: hosts with bad words alone or in pairs, hosts with everyday words or plain syllables."""
+    """A labelled table by rule: names of bad words alone and in pairs, and names of everyday words alone and in pairs or of plain syllables."""
     out = []
     syllables = ("th", "an", "er", "in", "re", "on", "at", "tion", "ing", "st", "es", "ble")
-    for k, (bad, good) in enumerate(zip(BAD_WORDS, GOOD_WORDS, strict=True)):
+    many = len(BAD_WORDS)
+    for k in range(many):
         end, lang = _ENDS[k % 3], ("en", "de", "fr", "es")[k % 4]
-        other, plain = BAD_WORDS[(k * 7 + 3) % len(BAD_WORDS)], "".join(syllables[(k * s + s) % 12] for s in (1, 5, 7)[: 2 + k % 2])
+        plain = "".join(syllables[(k * s + s) % 12] for s in (1, 5, 7)[: 2 + k % 2])
+        names = [(word, label) for label, words in ((1, BAD_WORDS), (0, GOOD_WORDS)) for word in (words[k], *(f"{words[k]}-{words[(k + step) % many]}" for step in (3, 7, 12)))]
+        names += [(name, 0) for name in (plain, plain + syllables[k % 12], syllables[k % 12] + plain, plain + "al")]
         for number, front in enumerate(("", "www.", "m.", "blog.")):
-            tail = f"/{lang}/{(k * 37 + number * 911) % 9000}"
-            out += [(f"http://{front}{bad}.example.{end}{tail}", 1), (f"https://{front}{bad}-{other}.example.{end}{tail}.html", 1)]
-            out += [(f"http://{front}{good}.example.{end}{tail}", 0), (f"https://{front}{plain}.example.{end}{tail}.html", 0), (f"https://{front}{plain}{syllables[k % 12]}.example.{end}{tail}", 0)]
+            page = f"/{lang}/{(k * 37 + number * 911) % 9000}"
+            out += [(f"http{'s' * (place % 2)}://{front}{name}.example.{end}{page}{'.html' * (place % 2)}", label) for place, (name, label) in enumerate(names)]
     return out
 
 
@@ -82,27 +87,59 @@ def logits(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarra
     return np.bincount(owner, weights[found], len(hosts)) / np.sqrt(count) + weights[DIMENSIONS]
 
 
-def train(hosts: list[str], paths: list[str], labels: list[int], rounds: int = 400, decay: float = 1e-3) -> np.ndarray:
-    """Weights by gradient descent on the logistic loss with L2 decay."""
+def train(hosts: list[str], paths: list[str], labels: list[int], rounds: int = 400, rate: float = 16.0, decay: float = 1e-3) -> np.ndarray:
+    """Weights by gradient descent on the mean logistic loss with L2 decay.
+
+    A row's features have a sum of squares of about 1, and few rows share an n-gram, so that steps of ``rate`` times the mean gradient stay
+    small for each weight; the bias, which all rows share, takes steps of 1.
+    """
     found, owner = features(hosts, paths)
     y, n = np.asarray(labels, float), len(labels)
     scale = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=n), 1))
     weights = np.zeros(DIMENSIONS + 1)
-    for _ in range(rounds):
+    for _ in range(rounds if n else 0):
         error = y - 1 / (1 + np.exp(-(np.bincount(owner, weights[found], n) * scale + weights[DIMENSIONS])))
-        weights[:DIMENSIONS] += 2.0 * np.bincount(found, (error * scale)[owner], DIMENSIONS) / max(n, 1) * 8 - decay * weights[:DIMENSIONS]
-        weights[DIMENSIONS] += error.mean() if n else 0
+        weights[:DIMENSIONS] += rate * np.bincount(found, (error * scale)[owner], DIMENSIONS) / n - decay * weights[:DIMENSIONS]
+        weights[DIMENSIONS] += error.mean()
     return weights
 
 
-def model(labelled: DataFrame | None = None, url_col: str = "url", label_col: str = "label") -> np.ndarray:
-    """Train from a labelled table, or from the built-in one."""
+def split_url(url: str) -> tuple[str, str]:
+    """Host and path of a url, as host_and_path() gives them."""
+    _, there, rest = url.partition("://")
+    cut = re.match(r"(?s)([^/?#]*)([^?#]*)", rest if there else "")
+    return cut[1].translate(str.maketrans(UPPER, LOWER)), cut[2]
+
+
+def labelled_pairs(labelled: DataFrame | None = None, url_col: str = "url", label_col: str = "label", most: int = MOST_LABELLED) -> list[tuple[str, int]]:
+    """(url, label) of a labelled table, at most ``most`` of them, or of the built-in one."""
     if labelled is None:
-        pairs = built_in_table()
-        split = [url.split("://", 1)[1].partition("/") for url, _ in pairs]
-        return train([host for host, _, _ in split], ["/" + path for _, _, path in split], [label for _, label in pairs])
-    rows = split_urls(labelled.filter(F.col(label_col).isNotNull()).limit(MOST_LABELLED), label_col, url_col).collect()
-    return train([r.host for r in rows], [r.path for r in rows], [int(r[label_col]) for r in rows])
+        return built_in_table()
+    rows = labelled.select(F.coalesce(F.col(url_col), F.lit("")).alias("u"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL")
+    return [(r.u, r.y) for r in rows.orderBy(F.xxhash64("u", "y"), "u", "y").limit(most).collect()]
+
+
+def model(labelled: DataFrame | None = None, url_col: str = "url", label_col: str = "label", most: int = MOST_LABELLED) -> np.ndarray:
+    """Train from a labelled table, or from the built-in one."""
+    return trained(labelled_pairs(labelled, url_col, label_col, most))
+
+
+def trained(pairs: list[tuple[str, int]]) -> np.ndarray:
+    split = [split_url(url) for url, _ in pairs]
+    return train([host for host, _ in split], [path for _, path in split], [label for _, label in pairs])
+
+
+def accuracy(pairs: list[tuple[str, int]], folds: int = 5) -> float:
+    """The share of urls that a model of the other folds' registered names judges as labelled; a name is the last three parts of a host."""
+    name = lambda url: zlib.crc32(".".join(split_url(url)[0].split(".")[-3:]).encode("utf-8", "surrogatepass"))
+    right = 0
+    for fold in range(folds):
+        weights = trained([p for p in pairs if name(p[0]) % folds != fold])
+        held = [p for p in pairs if name(p[0]) % folds == fold]
+        if held:
+            split = [split_url(url) for url, _ in held]
+            right += int(((logits(weights, [h for h, _ in split], [p for _, p in split]) >= 0) == np.array([y == 1 for _, y in held])).sum())
+    return right / max(len(pairs), 1)
 
 
 Rule = tuple[str, str]  # verdict, host and path
