@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,15 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or an own folder where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local sessions an own folder where that is unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="hazardry-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as the URI that Spark takes it for, with its scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub(r"^file:/+", "file:///", uri)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/hazardry/{label}-{uuid.uuid4().hex}"
@@ -52,6 +62,32 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any file system that Spark knows; None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return None
+    stream = store.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, in one step for those who read it: written beside, then renamed."""
+    jvm = spark._jvm
+    where, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = store.create(beside, True)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    store.delete(where, False)
+    if not store.rename(beside, where):
+        raise OSError(f"can't write {path}")
+
+
 def without_repeats(df: DataFrame, key: list[str], smallest: Column) -> DataFrame:
     """One row, that with the smallest value, of each group of rows with equal keys without nulls; all other rows as they are.
 

@@ -7,9 +7,10 @@ the job commits lists those of the attempts that succeeded, so files of lost att
 
 Reading: an archive is a row of gzip members or of plain records. When a member does not inflate, a version line or length is wrong, or a
 block fails its digest, the reader searches for the next member or version line that starts a whole record, logs
-the bytes between as a quarantined gap, and goes on.
+the bytes between as a quarantined gap, and goes on. Within a member, which may hold many records and may be cut off or damaged behind some of them, it goes on in the same
+way over what inflates. Archives are read by pages and members are inflated by bounded pieces, so time and memory don't grow with an archive's length.
 
-Defined results: a null or empty payload is an empty one; all empty ones are equal (unless shorter than ``least``). Rows that share id and
+Defined results: ids are whole numbers. A null or empty payload is an empty one; all empty ones are equal (unless shorter than ``least``). Rows that share id and
 payload are all responses if that id is the largest. A null id is written as such, and never wins. An empty
 table gives no archives. Other columns are not read.
 """
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardry.llm.common import materialise, shared_path
+from hazardry.llm.common import materialise, qualified, shared_path
 
 ARCHIVE_BYTES = 32_000_000
+#: Bytes that are inflated at a time.
+PIECE = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 _RECORD = "archive string, offset long, kind string, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, gap_bytes long, reason string"
@@ -76,7 +79,7 @@ class Found:
     block: bytes
 
 
-def parse(raw: bytes, at: int) -> Found:
+def parse(raw, at: int) -> Found:
     """The plain record at an offset; raises ValueError with the reason if a check fails."""
     if raw[at : at + len(VERSION)] != VERSION:
         raise ValueError("no version line")
@@ -102,35 +105,49 @@ def parse(raw: bytes, at: int) -> Found:
     return Found(end + 4, fields, block)
 
 
-def parse_member(raw: bytes, at: int) -> Found:
-    """The gzip member at an offset, with one record."""
-    inflate = zlib.decompressobj(31)
-    try:
-        text = inflate.decompress(memoryview(raw)[at:])
-    except zlib.error as err:
-        raise ValueError("member does not inflate") from err
-    if not inflate.eof:
-        raise ValueError("member is cut off")
-    found = parse(text, 0)
-    if found.end != len(text):
-        raise ValueError("bytes after the record")
-    found.end = len(raw) - len(inflate.unused_data)
-    return found
-
-
-def salvage(raw: bytes) -> Iterator[tuple[int, Found | None, int, str]]:
-    """(offset, record, 0, "") for each whole record and (offset, None, bytes, reason) for each gap, in order."""
-    at = 0
+def inflate(raw, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at an offset inflates to, its end, and the reason where it is damaged or cut off (then the bytes before that)."""
+    made, out, place = zlib.decompressobj(31), [], at
+    while not made.eof:
+        if not (piece := raw[place : place + PIECE]):
+            return b"".join(out), place, "member is cut off"
+        try:
+            out.append(made.decompress(piece))
+        except zlib.error:
+            return b"".join(out), place, "member does not inflate"
+        place += len(piece)
+    return b"".join(out), place - len(made.unused_data), ""
+
+
+class Places:
+    """The next place of a pattern, searched for once."""
+
+    def __init__(self, raw, pattern: bytes):
+        self.raw, self.pattern, self.place = raw, pattern, -1
+
+    def after(self, at: int) -> int:
+        """The first place behind an offset; the length where there is none."""
+        if self.place <= at:
+            found = self.raw.find(self.pattern, at + 1)
+            self.place = found if found >= 0 else len(self.raw)
+        return self.place
+
+
+Event = tuple[int, Found | None, int, str]
+
+
+def plain_records(raw) -> Iterator[Event]:
+    """Whole records and gaps of plain bytes, as salvage() tells them."""
+    at, versions = 0, Places(raw, VERSION)
     while at < len(raw):
         start, reason = at, ""
         while at < len(raw):
             try:
-                found = parse_member(raw, at) if raw[at : at + 3] == MAGIC else parse(raw, at)
+                found = parse(raw, at)
                 break
             except ValueError as err:
                 reason = reason or str(err)
-                places = [x for x in (raw.find(MAGIC, at + 1), raw.find(VERSION, at + 1)) if x >= 0]
-                at = min(places, default=len(raw))
+                at = versions.after(at)
         if at > start:
             yield start, None, at - start, reason
         if at < len(raw):
@@ -138,10 +155,86 @@ def salvage(raw: bytes) -> Iterator[tuple[int, Found | None, int, str]]:
             at = found.end
 
 
+def salvage(raw) -> Iterator[Event]:
+    """(offset, record, 0, "") for each whole record and (offset, None, bytes, reason) for each gap, in order.
+
+    Records of a member, and gaps within one (counted in inflated bytes), have the member's offset. raw: bytes, or a Remote.
+    """
+    at, members, versions = 0, Places(raw, MAGIC), Places(raw, VERSION)
+    gap, reason = None, ""  # where the open gap starts
+    while at < len(raw):
+        events: list[Event] = []
+        end, why = at, ""
+        if raw[at : at + len(MAGIC)] == MAGIC:
+            text, end, why = inflate(raw, at)
+            events = list(plain_records(text))
+            if not any(found for _, found, _, _ in events):
+                why = why or (events[0][3] if events else "member without a record")
+                events = []
+            elif why and events[-1][1] is None:
+                events.pop()  # the cut-off rest belongs to the gap that follows
+        else:
+            try:
+                found = parse(raw, at)
+                events, end = [(at, found, 0, "")], found.end
+            except ValueError as err:
+                why = str(err)
+        if events:
+            if gap is not None:
+                yield gap, None, at - gap, reason
+                gap = None
+            for _, found, size, said in events:
+                yield at, found, size, f"within a member: {said}" if found is None else ""
+        if why:
+            if gap is None:
+                gap, reason = at, why if not events else f"{why}, after {len(events)} records"
+            at = min(members.after(at), versions.after(at))
+        else:
+            at = end
+    if gap is not None:
+        yield gap, None, len(raw) - gap, reason
+
+
+class Remote:
+    """A file read by pages: slices and find() as of bytes, of which a few pages are held."""
+
+    def __init__(self, file, page: int = 1 << 22):
+        self.file, self.page, self.size = file, page, file.size()
+        self.held: dict[int, bytes] = {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _page(self, k: int) -> bytes:
+        if k not in self.held:
+            if len(self.held) >= 4:
+                del self.held[min(self.held)]
+            self.held[k] = self.file.read_at(min(self.page, self.size - k * self.page), k * self.page)
+        return self.held[k]
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop = min(part.start, self.size), min(part.stop, self.size)
+        if stop <= start:
+            return b""
+        first, last = start // self.page, (stop - 1) // self.page
+        if last > first + 2:  # a long block passes the pages by
+            return self.file.read_at(stop - start, start)
+        return b"".join(self._page(k) for k in range(first, last + 1))[start - first * self.page : stop - first * self.page]
+
+    def find(self, pattern: bytes, start: int) -> int:
+        while start < self.size:
+            near = self[start : start + self.page]
+            if (found := near.find(pattern)) >= 0:
+                return start + found
+            start += max(len(near) - len(pattern) + 1, 1)
+        return -1
+
+
 def _file_system(path: str):
+    """The file system of a path that qualified() has made."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
 
 
 def marked(df: DataFrame, id_col: str, uri_col: str, payload_col: str, least: int = 0) -> DataFrame:
@@ -156,7 +249,7 @@ def marked(df: DataFrame, id_col: str, uri_col: str, payload_col: str, least: in
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write (id, uri, payload, refers_to); the committed table of (archive, records)."""
+    """Write (id, uri, payload, refers_to) below a folder (a URI); the committed table of (archive, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -197,32 +290,36 @@ def read_archives(archives: DataFrame, keep_payload: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, where = _file_system(path)
-                with store.open_input_stream(where, compression=None) as stream:
-                    raw = stream.read()
                 rows, size = [], 0
-                for at, found, gap, reason in salvage(raw):
-                    if found is None:
-                        rows.append((path, at, "gap", *[None] * 7, gap, reason))
-                    else:
-                        get = found.fields.get
-                        head, _, payload = found.block.partition(b"\r\n\r\n") if found.block.startswith(b"HTTP/") else (b"", b"", found.block)
-                        whole = get("warc-type") != "revisit"
-                        told = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
-                        rows.append((
-                            path, at, "record", get("warc-type"), get("warc-record-id", "").strip("<>"), get("warc-target-uri"),
-                            get("warc-refers-to", "").strip("<>") or None,
-                            digest(payload) if whole else get("warc-payload-digest", "").removeprefix("sha1:"),
-                            len(payload) if whole else int(told[1]) if told else 0, payload if whole and keep_payload else None, None, None,
-                        ))
-                        size += len(found.block)
-                    if size > 8_000_000 or len(rows) >= 5000:
-                        yield _rows(rows)
-                        rows, size = [], 0
+                with store.open_input_file(where) as file:
+                    for at, found, gap, reason in salvage(Remote(file)):
+                        if found is None:
+                            rows.append((path, at, "gap", *[None] * 7, gap, reason))
+                        else:
+                            rows.append((path, at, *_told(found, keep_payload)))
+                            size += len(found.block) if keep_payload else 0
+                        if size > 8_000_000 or len(rows) >= 5000:
+                            yield _rows(rows)
+                            rows, size = [], 0
                 if rows:
                     yield _rows(rows)
 
-    count = max(1, archives.count())
-    return archives.select("archive").repartition(count).mapInArrow(run, _RECORD)
+    spark = archives.sparkSession
+    tasks = max(1, min(archives.count(), 32 * spark.sparkContext.defaultParallelism))
+    return archives.select("archive").repartition(tasks).mapInArrow(run, _RECORD)
+
+
+def _told(found: Found, keep_payload: bool) -> tuple:
+    """The columns of a record from its kind to its gap."""
+    get = found.fields.get
+    head, _, payload = found.block.partition(b"\r\n\r\n") if found.block.startswith(b"HTTP/") else (b"", b"", found.block)
+    whole = get("warc-type") != "revisit"
+    told = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
+    return (
+        "record", get("warc-type"), get("warc-record-id", "").strip("<>"), get("warc-target-uri"), get("warc-refers-to", "").strip("<>") or None,
+        digest(payload) if whole else get("warc-payload-digest", "").removeprefix("sha1:"),
+        len(payload) if whole else int(told[1]) if told else 0, payload if whole and keep_payload else None, None, None,
+    )
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -231,5 +328,5 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def round_trip(df: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", least: int = 0, keep_payload: bool = False) -> DataFrame:
     """Write archives of all rows and read them back."""
-    folder = shared_path(df.sparkSession, "warc")
+    folder = qualified(df.sparkSession, shared_path(df.sparkSession, "warc"))
     return read_archives(write_archives(marked(df, id_col, uri_col, payload_col, least), folder), keep_payload)
