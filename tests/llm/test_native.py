@@ -81,11 +81,38 @@ def test_lines_of_repeated_rows_and_null_ids(spark):
     assert sorted(r.kept_text for r in lines.dedup_lines(df, enough=4).collect()) == ["b", "b", "b", "c"]
 
 
-def test_runs_compact(spark, tmp_path):
-    store = lines.RunStore(spark, str(tmp_path / "runs"), enough=3, fan_in=2)
-    for _ in range(5):
-        store.add(spark.createDataFrame([(1, 1, 1), (2, 2, 1)], "h1 long, h2 long, n long"))
-    assert sum(map(len, store.levels)) <= 3 and store.frequent().count() == 2
+def test_runs_compact_and_open_again(spark, tmp_path):
+    rng = random.Random(3)
+    total, path = Counter(), str(tmp_path / "runs")
+    for number in range(7):
+        batch = [(k, -k, rng.randrange(1, 3)) for k in range(40) if rng.random() < 0.6]
+        settled = {k for k, n in total.items() if n >= 8}
+        total.update({k: n for k, _, n in batch if k not in settled})
+        store = lines.RunStore(spark, path, enough=8 if number == 0 else 99, fan_in=2)
+        store.add(spark.createDataFrame(batch, "h1 long, h2 long, n long"))
+        assert {r.h1: r.n for r in store.counts().collect()} == dict(total)
+        assert {r.h1 for r in store.frequent().collect()} == {k for k, n in total.items() if n >= 8}
+        assert sum(map(len, store.levels)) <= 3
+        store.close()
+
+
+def test_runs_merge_without_an_exchange(spark, tmp_path):
+    store = lines.RunStore(spark, str(tmp_path / "runs"), enough=3, fan_in=9)
+    for _ in range(3):
+        store.add(spark.createDataFrame([(k, k, 1) for k in range(50)], "h1 long, h2 long, n long"))
+    plan = store.frequent()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    store.close()
+
+
+def test_a_long_document_loses_its_lines_in_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line {k}" for k in range(100_000))
+    df = _docs(spark, [text, text, "own"])
+    start = time.monotonic()
+    assert {(r.doc_id, r.n_dropped, r.kept_text) for r in lines.dedup_lines(df, enough=2).collect()} == {(0, 100_000, ""), (1, 100_000, ""), (2, 0, "own")}
+    assert time.monotonic() - start < 150
 
 
 def test_exact(spark):
