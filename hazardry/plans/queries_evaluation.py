@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazardry.operators import evaluation, judging, matching, quality
+from hazardry.operators.annotation import LABELS
 from hazardry.plans.adapters import BOXES_SQL, embedded_boxes, labelled_documents, micros, table
 from hazardry.plans.registry import query
 
@@ -47,22 +48,78 @@ def box_overlaps(spark, sf_dir):
     return matching.overlaps(*sides).withColumn("iou", F.round("iou", 6))
 
 
-@query("hazard_matches")
+def _side_sql(kind: str, shift: int, box: str) -> str:
+    """Hazards of one side but those labelled no_hazard, numbered within their frame."""
+    return f"""{kind} AS (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY vec_id) AS i FROM (
+    SELECT vec_id // 4 AS f, vec_id, {box},
+           CASE WHEN (vec_id + {shift}) % 7 = 0 THEN 'no_hazard' WHEN vec_id % 3 = 0 THEN 'jaywalking' WHEN vec_id % 3 = 1 THEN 'high_density' ELSE 'unusual_object' END AS label,
+           ['low', 'medium', 'high', 'critical'][(vec_id + {shift}) % 4 + 1] AS severity
+    FROM boxes) WHERE label <> 'no_hazard'
+)"""
+
+
+_NEAR = ", ".join(f"CASE WHEN vec_id % 2 = 0 THEN a{c} + 5.0 ELSE b{c} END AS {c}" for c in ("x1", "y1", "x2", "y2"))
+#: The assignment of largest total overlap among all 24 ways to pair up to four boxes with up to four.
+_EVENTS = BOXES_SQL + f""", {_side_sql("pr", 0, "ax1 AS x1, ay1 AS y1, ax2 AS x2, ay2 AS y2")}, {_side_sql("tr", 1, _NEAR)},
+fr AS (SELECT vec_id // 4 AS f, max(vec_id) % 20 = 3 AS failed FROM boxes GROUP BY 1),
+ov AS (SELECT p.f, p.i, t.i AS j, greatest(least(p.x2, t.x2) - greatest(p.x1, t.x1), 0) * greatest(least(p.y2, t.y2) - greatest(p.y1, t.y1), 0) AS s, (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS u FROM pr p JOIN tr t ON t.f = p.f),
+iou AS (SELECT f, i, j, s / (u - s) AS v FROM ov JOIN fr USING (f) WHERE NOT failed),
+ways AS (SELECT [a, b, c, d] AS w FROM (SELECT unnest(range(1, 5)) AS a), (SELECT unnest(range(1, 5)) AS b), (SELECT unnest(range(1, 5)) AS c), (SELECT unnest(range(1, 5)) AS d) WHERE len(list_distinct([a, b, c, d])) = 4),
+best AS (SELECT f, arg_max(w, total) AS w FROM (SELECT f, w, sum(CASE WHEN w[i] = j THEN v ELSE 0 END) AS total FROM iou, ways GROUP BY 1, 2) GROUP BY 1),
+met AS (SELECT f, i, j, v FROM iou JOIN best USING (f) WHERE w[i] = j AND v >= 0.5),
+found AS (
+  SELECT m.f, 'tp' AS kind, p.label AS pred_label, t.label AS true_label, p.severity AS pred_severity, t.severity AS true_severity, v AS iou FROM met m JOIN pr p ON p.f = m.f AND p.i = m.i JOIN tr t ON t.f = m.f AND t.i = m.j
+  UNION ALL SELECT p.f, 'fp', p.label, NULL, p.severity, NULL, NULL FROM pr p JOIN fr USING (f) WHERE NOT failed AND NOT EXISTS (FROM met m WHERE m.f = p.f AND m.i = p.i)
+  UNION ALL SELECT t.f, 'fn', NULL, t.label, NULL, t.severity, NULL FROM tr t WHERE NOT EXISTS (FROM met m WHERE m.f = t.f AND m.j = t.i)
+)
+"""
+
+
+def _ratio_sql(over: str, under: str) -> str:
+    return f"(CASE WHEN {under} > 0 THEN ({over})::DOUBLE / ({under}) ELSE 0.0 END)"
+
+
+@query("hazard_matches", _EVENTS + "SELECT f::VARCHAR AS frame_id, kind, pred_label, true_label, pred_severity, true_severity, round(iou, 6) AS iou FROM found")
 def hazard_matches(spark, sf_dir):
     return _matched(spark, sf_dir)[1].drop("pred_row").withColumn("iou", F.round("iou", 6))
 
 
-@query("grounding_metrics")
+_PRECISION, _RECALL = _ratio_sql("tp", "tp + fp"), _ratio_sql("tp", "tp + fn")
+
+
+@query(
+    "grounding_metrics",
+    _EVENTS + f""", z AS (SELECT f, failed, (SELECT count(*) FROM pr WHERE pr.f = fr.f) AS np, (SELECT count(*) FROM tr WHERE tr.f = fr.f) AS nt FROM fr),
+    c AS (SELECT count(*) AS total_frames, count(*) FILTER (failed) AS parse_failures, count(*) FILTER (NOT failed AND nt = 0 AND np = 0) AS true_negatives, count(*) FILTER (NOT failed AND nt = 0 AND np > 0) AS fp_frames,
+                 coalesce(sum(nt) FILTER (NOT failed), 0)::BIGINT AS total_gt_hazards, coalesce(sum(np) FILTER (NOT failed), 0)::BIGINT AS total_pred_hazards FROM z),
+    k AS (SELECT count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'fp') AS fp, count(*) FILTER (kind = 'fn') AS fn, coalesce(avg(iou), 0.0) AS iou, count(*) FILTER (kind = 'tp' AND pred_label IS NOT DISTINCT FROM true_label) AS same FROM found)
+    SELECT round({_ratio_sql("tp", "tp + fp + fn")}, 4) AS iou_at_threshold, round({_RECALL}, 4) AS hazard_detection_rate, round({_ratio_sql("fp_frames", "true_negatives + fp_frames")}, 4) AS false_positive_rate, round({_PRECISION}, 4) AS precision,
+           round({_ratio_sql(f"2 * {_PRECISION} * {_RECALL}", f"{_PRECISION} + {_RECALL}")}, 4) AS f1_score, round(iou, 4) AS mean_iou, round({_ratio_sql("same", "tp")}, 4) AS classification_accuracy,
+           total_frames, total_gt_hazards, total_pred_hazards, tp AS true_positives, fp AS false_positives, fn AS false_negatives, true_negatives,
+           round({_ratio_sql("true_negatives", "true_negatives + fp_frames")}, 4) AS no_hazard_accuracy, round({_ratio_sql("parse_failures", "total_frames")}, 4) AS parse_failure_rate, parse_failures FROM c, k""",
+)
 def grounding_metrics(spark, sf_dir):
     return evaluation.detection_metrics(*_matched(spark, sf_dir))
 
 
-@query("grounding_class_metrics")
+@query(
+    "grounding_class_metrics",
+    _EVENTS + f""", l AS (SELECT unnest([{", ".join(f"'{x}'" for x in LABELS[:-1])}]) AS label),
+    k AS (SELECT l.label, count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'fp') AS fp, count(*) FILTER (kind = 'fn') AS fn FROM l LEFT JOIN found ON l.label = CASE WHEN kind = 'fp' THEN pred_label ELSE true_label END GROUP BY 1)
+    SELECT label, round({_PRECISION}, 4) AS precision, round({_RECALL}, 4) AS recall, round({_ratio_sql(f"2 * {_PRECISION} * {_RECALL}", f"{_PRECISION} + {_RECALL}")}, 4) AS f1, tp + fn AS count FROM k""",
+)
 def grounding_class_metrics(spark, sf_dir):
     return evaluation.class_metrics(_matched(spark, sf_dir)[1])
 
 
-@query("grounding_severity")
+@query(
+    "grounding_severity",
+    _EVENTS + """, s AS (SELECT list_position(['low', 'medium', 'high', 'critical'], pred_severity) AS p, list_position(['low', 'medium', 'high', 'critical'], true_severity) AS t FROM found WHERE kind = 'tp'),
+    r AS (SELECT p, t, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS rt FROM s)
+    SELECT round(coalesce(avg((p = t)::INTEGER), 0.0), 4) AS severity_accuracy, round(coalesce(avg((abs(p - t) <= 1)::INTEGER), 0.0), 4) AS severity_within_one,
+           round(CASE WHEN count(*) >= 3 AND stddev_pop(rp) > 0 AND stddev_pop(rt) > 0 THEN corr(rp, rt) ELSE 0.0 END, 4) AS severity_spearman FROM r""",
+)
 def grounding_severity(spark, sf_dir):
     return evaluation.severity_metrics(_matched(spark, sf_dir)[1])
 
@@ -331,7 +388,12 @@ def speed_ups(spark, sf_dir):
     return evaluation.speed_ups(stats, "click")
 
 
-@query("stratified_detection")
+@query(
+    "stratified_detection",
+    _EVENTS + f""", z AS (SELECT f, unnest(['time_of_day', 'weather']) AS stratum_key, unnest([CASE WHEN f % 2 = 0 THEN 'day' ELSE 'night' END, CASE WHEN f % 5 = 0 THEN 'rain' ELSE 'clear' END]) AS stratum_value FROM fr),
+    k AS (SELECT f, count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'fn') AS fn FROM found GROUP BY 1)
+    SELECT stratum_key, stratum_value, count(*) AS n_frames, round({_ratio_sql("coalesce(sum(tp), 0)", "coalesce(sum(tp + fn), 0)")}, 4) AS detection_rate FROM z LEFT JOIN k USING (f) GROUP BY 1, 2""",
+)
 def stratified_detection(spark, sf_dir):
     predictions, truth = _frames(spark, sf_dir)
     parts = {"time_of_day": F.when(F.pmod(F.col("frame_id").cast("int"), F.lit(2)) == 0, "day").otherwise("night"), "weather": F.when(F.pmod(F.col("frame_id").cast("int"), F.lit(5)) == 0, "rain").otherwise("clear")}
