@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +42,28 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/+", "file:///", uri)
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/hazardry/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; within scratch() it goes when that ends."""
+    path = f"{shared_dir(spark)}/hazardry/{label}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what operators have written to the shared folder within. Results are lazy: write or collect them inside."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(paths)
+        for path in paths:
+            remove(spark, path)
 
 
 def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -88,6 +108,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"can't write {path}")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of the table has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def without_repeats(df: DataFrame, key: list[str], smallest: Column) -> DataFrame:
     """One row, that with the smallest value, of each group of rows with equal keys without nulls; all other rows as they are.
 

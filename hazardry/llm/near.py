@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardry.llm.common import LOWER, UPPER, materialise, without_repeats
+from hazardry.llm.common import LOWER, UPPER, materialise, unused, without_repeats
 
 SHINGLE, SIMILARITY, SKETCHES, KEPT = 5, 0.8, 20, 4
 #: Numbers of shingles: below the first no other text is similar; up to the second smallest shingles are buckets; from the third sketches are.
@@ -416,6 +416,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def keep_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with the columns that came in; rows that repeat an id leave the one with the smallest text."""
-    dropped = near_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_hz_id")).distinct()
+    name = unused(df, "_hz_dropped")
+    dropped = near_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
     dropped = materialise(dropped, "near-dropped")
-    return without_repeats(df.join(dropped, F.col(id_col) == F.col("_hz_id"), "left_anti"), [id_col], F.col(text_col))
+    return without_repeats(df.join(dropped, F.col(id_col) == F.col(name), "left_anti"), [id_col], F.col(text_col))
