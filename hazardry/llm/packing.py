@@ -33,9 +33,9 @@ from hazardry.llm.common import TwoGenerations, blocks, materialise
 
 WINDOW = 4096
 #: Words that each generation of a worker's cache holds.
-CACHED = 400_000
+CACHED = 100_000
 #: Characters that a worker tokenises at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Rank ranges that are broadcast at most (six longs each, 10 MB); beyond that the join is left to Spark.
 MOST_RANGES = 200_000
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
