@@ -19,6 +19,7 @@ once each. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -41,15 +42,31 @@ MOST_RANGES = 200_000
 _PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
+#: Letters that composing leaves as they are and whose case changes one by one; marks that no special string or contraction begins or ends with.
+MARKS = ".,;:!?#$%&*\"()+-/=@[]^_`{}~\\"
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([" + re.escape(MARKS) + "]*)")
+
+
+def _shown_bytes() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: printable ones as themselves, the others by the characters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_SHOWN = _shown_bytes()
+
+
 def only_lowers(settings: dict) -> bool:
-    """Whether a tokenizer's settings make ASCII letters lower-case, keep runs of them whole, and change nothing else about them."""
+    """Whether a tokenizer's settings make letters lower-case, keep runs of them whole, write them by bytes, and change nothing else about them."""
     parts = (settings.get("normalizer") or {}).get("normalizers") or [settings.get("normalizer") or {}]
     kinds = {p.get("type") for p in parts if p.get("type") != "Replace" or p.get("pattern") != {"Regex": "\\s+"}}
     split = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or []
     pattern = next((p["pattern"].get("Regex", "") for p in split if p.get("type") == "Split"), "")
     letters = pattern.split("|")
     apart = all(x.startswith("'") for x in letters[: letters.index(r"[\p{L}]+")]) if r"[\p{L}]+" in letters else False
-    return kinds <= {"NFC", "Lowercase"} and "Lowercase" in kinds and apart and settings["model"].get("type") == "BPE" and settings.get("post_processor") is None
+    by_bytes = any(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex") for p in split)
+    return kinds <= {"NFC", "Lowercase"} and "Lowercase" in kinds and apart and by_bytes and settings["model"].get("type") == "BPE" and settings.get("post_processor") is None
 
 
 class WordTokenizer:
@@ -64,34 +81,48 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lowers = only_lowers(json.loads(self.tokenizer.to_str()))
-        self.words = TwoGenerations(self.encode, CACHED)
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # each word comes once
+        self.words, self.cores = TwoGenerations(self.encode, CACHED), TwoGenerations(self.encode_cores, CACHED)
         self.tails: dict[str, bytes] = {"": b""}
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Ids of words.
 
-        Where the normaliser and the splitter only lower the case of ASCII letters and part marks from them, plain words (letters, then
-        marks) go to the tokenizer's model directly.
+        Where the normaliser and the splitter only lower the case of letters and part marks from them, plain words (Latin letters, then
+        marks) go to the tokenizer's model directly, each spelling without case and marks once.
         """
         out: list[bytes] = [b""] * len(found)
-        others, model = [], self.tokenizer.model
+        others, plain = [], []
         for k, word in enumerate(found):
-            core = word.rstrip(".,;:!?")
-            if self.lowers and core.isascii() and core.isalpha():
-                tail = word[len(core) :]
-                if tail not in self.tails:
-                    if len(self.tails) > 1000:
-                        self.tails = {"": b""}
-                    self.tails[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-                out[k] = array("I", [x.id for x in model.tokenize(core.lower())]).tobytes() + self.tails[tail]
+            if self.lowers and (parts := _PLAIN.fullmatch(word)) is not None:
+                core, tail = parts.groups()
+                plain.append((k, core.lower(), tail))
             else:
                 others.append(k)
+        known = self.cores.of({core for _, core, _ in plain})
+        for k, core, tail in plain:
+            out[k] = known[core] + (self.tails[tail] if tail in self.tails else self.tail(tail))
         for at in range(0, len(others), 4096):
             part = others[at : at + 4096]
             for k, x in zip(part, self.tokenizer.encode_batch_fast([found[k] for k in part], add_special_tokens=False), strict=True):
                 out[k] = array("I", x.ids).tobytes()
         return out
 
+    def tail(self, marks: str) -> bytes:
+        """Ids of marks behind a word."""
+        if len(self.tails) > 1000:
+            self.tails = {"": b""}
+        self.tails[marks] = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return self.tails[marks]
+
+    def encode_cores(self, found: list[str]) -> list[bytes]:
+        """Ids of lower-case words of Latin letters."""
+        tokenize = self.model.tokenize
+        shown = (core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN) for core in found)
+        return [array("I", [x.id for x in tokenize(core)]).tobytes() for core in shown]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [text.replace("\n", " ").split(" ") for text in texts]

@@ -249,6 +249,19 @@ def _check_packed(rows, texts):
         assert at == len(ids)
 
 
+def test_words_go_to_the_model_as_the_library_would_send_them():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(VOCABULARY), packing.WordTokenizer(VOCABULARY)
+    assert own.lowers and not packing.only_lowers({"model": {"type": "BPE"}})
+    rng = random.Random(12)
+    letters = "abETHéÉßÜñçÿÀØæªµº'’0٣ﬁ日ſİı\u0301\u0308"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) + rng.choice(["", ".", "!?", "###", "'s", "$$$,", "<|endoftext|>", "|>", "…", "_", "-", "\\"]) for _ in range(6000)]
+    joined = [" ".join(texts[k : k + 50]) for k in range(0, len(texts), 50)]
+    for text, ids in zip(joined, own.ids(joined), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pack(spark):
     texts = [None, "", "Hello  wOrld\n\tit's", "a\x1cb ́e ﬁ ΣΑΣ <|endoftext|>", "x<|startoftext|> a <|endoftext|>y <| endoftext|>", "word " * 9000, "x" * 3000, *_corpus()]
     _check_packed(packing.pack(_docs(spark, texts), VOCABULARY).collect(), texts)
