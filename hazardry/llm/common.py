@@ -163,6 +163,17 @@ def blocks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, list[
         yield at, texts[at:]
 
 
+def trim() -> None:
+    """Give freed memory of this process back, where the C library can: reused Python workers keep it while the next stage runs beside them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give_back(0)
+
+
 class TwoGenerations:
     """A bounded cache of what many keys map to.
 

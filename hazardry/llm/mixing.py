@@ -14,6 +14,7 @@ Training, all distributed, over every training text:
 3. the adaptive maps are counted, each site seen without its own occurrence, so that they show what slots say of new text;
 4. mixer weights learn online in each shard, by steps down the coding cost, and are averaged over the shards; the final
    map counts on the way. All sums over tasks are whole numbers, so neither partitions nor the order of tasks change the model.
+The tables are sent to the workers once, compressed; maps and weights travel with the tasks. Counts are added by ranges of sites and spans of slots, so that a worker copies little.
 Scoring prices a site once for as long as it stays in a process's table of known sites. Nothing learns from a text while it is scored.
 
 The unigram base: words count in each task first; frequent words (more than one token in
@@ -38,10 +39,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardry.llm.common import lower_ascii, materialise
+from hazardry.llm.common import lower_ascii, materialise, trim
 
 BYTES = 6  # a site is a byte and the five before it, and above them 16 bits of a hash of the current word up to there
 ORDERS = BYTES + 1  # contexts of 0 to 5 bytes, and the current word's beginning
@@ -57,6 +59,8 @@ GATES = 8 * ORDERS
 STRETCH = 500_000
 TEXT_BLOCK = 3_000_000
 CHUNK, STEP = 8192, 1024
+#: Sites of a batch that a task sends, and bytes of a table that are compressed at a time.
+SENT, PIECE = 1 << 19, 1 << 22
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _HASHED = ORDERS - 2  # orders 0 and 1 have rows of their own
 _DIRECT = 257 * 17  # rows of order 1, then of order 0: one for each first half of a byte, and one before it
@@ -205,10 +209,10 @@ def first_slots(sites: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, n
     return (((before >> shift).astype(np.int64) + top) << 4), (((after >> shift).astype(np.int64) + top) << 4)
 
 
-def bits_of(sites: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def bits_of(sites: np.ndarray, places: range = range(8)) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each of the eight bits: its place, the node (1 and the bits before), the bit."""
     byte = (sites & np.uint64(255)).astype(np.int64)
-    for place in range(8):
+    for place in places:
         yield place, (1 << place) | (byte >> (8 - place)), (byte >> (7 - place)) & 1
 
 
@@ -257,6 +261,28 @@ class Model:
     weights: np.ndarray
     refined: np.ndarray
 
+    def __getstate__(self) -> dict[str, Any]:
+        """Tables travel compressed, by pieces: broadcasts lie on every executor's disk."""
+        pieces = [self.table[at : at + PIECE] for at in range(0, len(self.table), PIECE)]
+        return self.__dict__ | {"table": [(len(x), pa.compress(x.tobytes(), "zstd", asbytes=True)) for x in pieces]}
+
+    def __setstate__(self, state: dict[str, Any]) -> None:
+        pieces = state.pop("table")
+        self.__dict__.update(state, table=np.empty(sum(size for size, _ in pieces), np.uint8))
+        at = 0
+        while pieces:
+            size, packed = pieces.pop(0)
+            self.table[at : at + size] = np.frombuffer(pa.decompress(packed, size, "zstd", asbytes=True), np.uint8)
+            at += size
+
+    def maps(self) -> tuple[np.ndarray, ...]:
+        """All but the tables, a copy."""
+        return tuple(x.copy() for x in (self.logits, self.weights, self.refined))
+
+    def with_maps(self, maps: tuple[np.ndarray, ...]) -> Model:
+        """The same tables with other maps and weights."""
+        return Model(self.bits, self.table, *maps)
+
     def lookups(self, sites: np.ndarray, leave_out: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
         """For each bit: its place, node, the bit, and the coded pairs of each order; on request without the site's own occurrence."""
         rows = [first_slots(sites, k, self.bits) for k in range(ORDERS)]
@@ -340,9 +366,21 @@ def untrained(bits: int, table: np.ndarray) -> Model:
 Counted = tuple[np.ndarray, np.ndarray]  # distinct sites, and how often each occurs
 
 
-def merged(parts: list[Counted]) -> Counted:
-    """The sums of several counts."""
-    return parts[0] if len(parts) == 1 else distinct(np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]))
+def merged(parts: list[Counted], most: int = 1 << 18) -> Counted:
+    """The sums of several counts, each with its sites sorted; ranges of about `most` sites are added at a time, so that little is copied."""
+    if len(parts) == 1:
+        return parts[0]
+    size, largest = sum(len(x) for x, _ in parts), max((x for x, _ in parts), key=len)
+    ranges = -(-size // most)
+    bounds = largest[np.arange(1, ranges) * len(largest) // ranges]
+    cuts = [np.r_[0, np.searchsorted(x, bounds), len(x)] for x, _ in parts]
+    every, total, at = np.empty(size, np.uint64), np.empty(size, np.int64), 0
+    for k in range(ranges):
+        own = [(x[c[k] : c[k + 1]], n[c[k] : c[k + 1]]) for (x, n), c in zip(parts, cuts, strict=True)]
+        sites, n = distinct(np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own]))
+        every[at : at + len(sites)], total[at : at + len(sites)] = sites, n
+        at += len(sites)
+    return every[:at], total[:at]
 
 
 def counted_sites(texts: DataFrame, shards: int) -> DataFrame:
@@ -357,7 +395,7 @@ def counted_sites(texts: DataFrame, shards: int) -> DataFrame:
 
     def dealt(key: np.ndarray, every: np.ndarray, total: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Runs of sites with an equal key, each run sorted."""
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key.astype(np.uint16) if shards <= 1 << 16 and parts <= 1 << 16 else key, kind="stable")
         key, every, total = key[order], every[order], total[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         for at, end in zip(starts, np.r_[starts[1:], len(key)], strict=True):
@@ -366,11 +404,13 @@ def counted_sites(texts: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counted] = []
 
-        def send() -> pa.RecordBatch:
+        def send() -> Iterator[pa.RecordBatch]:
             every, total = merged(held)
             held.clear()
-            rows = [(k, x.tobytes(), n.tobytes()) for k, x, n in dealt(shard_of(every) % parts, every, total)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], names=["bucket", "sites", "n"])
+            for at in range(0, len(every), SENT):
+                sites, n = every[at : at + SENT], total[at : at + SENT]
+                rows = [(k, x.tobytes(), n.tobytes()) for k, x, n in dealt(shard_of(sites) % parts, sites, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)]], names=["bucket", "sites", "n"])
 
         for batch in batches:
             for _, part in text_blocks(batch.column(0)):
@@ -379,9 +419,10 @@ def counted_sites(texts: DataFrame, shards: int) -> DataFrame:
                     if sum(len(x) for x, _ in held) > 3_000_000:
                         held[:] = [merged(held)]
                         if len(held[0][0]) > 2_000_000:
-                            yield send()
+                            yield from send()
         if held:
-            yield send()
+            yield from send()
+        trim()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list[Counted] = []
@@ -396,6 +437,8 @@ def counted_sites(texts: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard], pa.int32()), pa.array([len(sites)], pa.int64()), pa.array([sites.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["shard", "size", "sites", "n"]
                 )
+        whole.clear()
+        trim()
 
     sent = texts.mapInArrow(run, "bucket int, sites binary, n binary").repartition(parts, "bucket")
     return sent.mapInArrow(merge, "shard int, size long, sites binary, n binary")
@@ -409,6 +452,7 @@ def shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Counted]:
 
 
 BLOCK = 1 << 16
+SPAN = 1 << 22
 _PACKED = "block int, part int, packed binary"
 
 
@@ -448,6 +492,7 @@ def slot_blocks(counted: DataFrame, bits: int) -> DataFrame:
                 held = []
         if held:
             yield from send(held, part)
+        trim()
 
     def send(held: list[tuple[np.ndarray, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
         sites, n = np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held])
@@ -455,15 +500,22 @@ def slot_blocks(counted: DataFrame, bits: int) -> DataFrame:
         for order in range(ORDERS):
             top = (order - 2) << (bits + 4) if order > 1 else _HASHED << (bits + 4)
             size = (1 << (bits + 4)) if order > 1 else _DIRECT << 4
-            counts = np.zeros((-(-(top % BLOCK + size) // BLOCK)) * BLOCK * 2, n.dtype)
+            rows = np.empty((2, len(sites)), np.int32)
             for at in range(0, len(sites), 1 << 17):
-                some, weight = sites[at : at + (1 << 17)], n[at : at + (1 << 17)]
-                rows = first_slots(some, order, bits)
-                for place, node, bit in bits_of(some):
-                    np.add.at(counts, (rows[place >= 4] + node_in_row(place, node) - (top - top % BLOCK)) * 2 + bit, weight)
-            parts = counts.reshape(-1, 2 * BLOCK)
-            for k in np.flatnonzero(parts.any(axis=1)):
-                yield pa.RecordBatch.from_arrays([pa.array([top // BLOCK + k], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(parts[k])], pa.binary())], names=["block", "part", "packed"])
+                rows[:, at : at + (1 << 17)] = first_slots(sites[at : at + (1 << 17)], order, bits)
+            # a span of the table at a time: its counts are what a task holds
+            for low in range(top - top % BLOCK, top + size, SPAN):
+                counts = np.zeros((-(-min(top + size - low, SPAN) // BLOCK)) * BLOCK * 2, n.dtype)
+                for half, row in enumerate(rows):
+                    own = np.flatnonzero((row >= low) & (row < low + SPAN))
+                    for at in range(0, len(own), 1 << 17):
+                        some = own[at : at + (1 << 17)]
+                        first, weight = row[some].astype(np.int64) - low, n[some]
+                        for place, node, bit in bits_of(sites[some], range(4 * half, 4 * half + 4)):
+                            np.add.at(counts, (first + node_in_row(place, node)) * 2 + bit, weight)
+                parts = counts.reshape(-1, 2 * BLOCK)
+                for k in np.flatnonzero(parts.any(axis=1)):
+                    yield pa.RecordBatch.from_arrays([pa.array([low // BLOCK + k], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(parts[k])], pa.binary())], names=["block", "part", "packed"])
 
     def added(rows: pd.DataFrame) -> np.ndarray:
         total = np.zeros((BLOCK, 2), np.int64)
@@ -512,8 +564,11 @@ def learnt_from(base: Model, sites: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 FINE = 2.0**-24
 
 
-def fit(texts: DataFrame, shards: int = 1) -> Model:
-    """Train on a DataFrame with one column of texts. What reaches the driver is the model (85 MB at most)."""
+def fit(texts: DataFrame, shards: int = 1) -> tuple[Model, Broadcast]:
+    """Train on a DataFrame with one column of texts: the model, and the broadcast of its tables (without maps and weights, see `with_maps`).
+
+    What reaches the driver is the model (85 MB at most). Tables are sent once; the maps and weights, some kilobytes, travel with the tasks.
+    """
     spark = texts.sparkSession
     counted = materialise(counted_sites(texts, shards), "sites")
     sites = counted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
@@ -522,16 +577,17 @@ def fit(texts: DataFrame, shards: int = 1) -> Model:
     for row in slot_blocks(counted, bits).collect():
         table[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(pa.decompress(row.pairs, BLOCK, "zstd", asbytes=True), np.uint8)
     model = untrained(bits, table)
-    sent = spark.sparkContext.broadcast(model)
+    tables = spark.sparkContext.broadcast(untrained(bits, table))
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, hits = sent.value, np.zeros(ORDERS * 512)
+        base, hits = tables.value, np.zeros(ORDERS * 512)
         for whole, counts in shards_in(batches):
             for at in range(0, len(whole), CHUNK):
                 n = counts[at : at + CHUNK].astype(float)
                 for _, _, bit, pairs in base.lookups(whole[at : at + CHUNK], True):
                     for k in range(ORDERS):
                         hits[k * 512 : (k + 1) * 512] += np.bincount(pairs[k] * 2 + bit, n, 512)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hits))), pa.array(hits.astype(np.int64))], names=["k", "v"])
 
     def summed(run, size: int) -> np.ndarray:
@@ -543,15 +599,15 @@ def fit(texts: DataFrame, shards: int = 1) -> Model:
 
     zeros, ones = summed(calibrate, ORDERS * 512).reshape(ORDERS, 256, 2).transpose(2, 0, 1)
     model.logits = np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -9, 9).astype(np.float32)
-    sent.unpersist()
-    sent = spark.sparkContext.broadcast(model)
+    start = model.maps()
     width, maps = GATES * (ORDERS + 1), 256 * BUCKETS
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, values = sent.value, np.zeros(width + GATES + 2 * maps)
+        base, values = tables.value.with_maps(start), np.zeros(width + GATES + 2 * maps)
         for sites, n in shards_in(batches):
             weights, seen, ones, total = learnt_from(base, sites, n)
             values += np.concatenate([np.round(weights * seen / FINE).ravel(), np.round(seen), np.round(ones), np.round(total)])
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values.astype(np.int64))], names=["k", "v"])
 
     sums, seen, ones, total = np.split(summed(learn, width + GATES + 2 * maps), [width, width + GATES, width + GATES + maps])
@@ -559,8 +615,7 @@ def fit(texts: DataFrame, shards: int = 1) -> Model:
     model.weights[:, learnt] = (sums.reshape(ORDERS + 1, GATES) * FINE / np.maximum(seen, 1))[:, learnt]
     prior = untrained(bits, table[:0]).refined
     model.refined = ((ones + 20 * prior) / (total + 20)).astype(np.float32)
-    sent.unpersist()
-    return model
+    return model, tables
 
 
 def counted_words(texts: DataFrame) -> DataFrame:
@@ -647,29 +702,32 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     lower = 0.1 * (v + 1)
     known = frequent["word"].combine_chunks() if frequent.num_rows else pa.array([], pa.binary())
     logs = np.log10((frequent["c"].to_numpy().astype(float) + 0.1) / (n + lower))
-    model = fit(training, max(1, n // SHARD_TOKENS))
-    sent = spark.sparkContext.broadcast((model, known.cast(pa.binary()), logs))
+    model, tables = fit(training, max(1, n // SHARD_TOKENS))
+    maps, sent = model.maps(), spark.sparkContext.broadcast((known.cast(pa.binary()), logs))
     kind, token = rows.schema[id_col].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row_id = TaskContext.get().partitionId() << 40
+        row_id, model = TaskContext.get().partitionId() << 40, tables.value.with_maps(maps)
         for batch in batches:
             for at, texts in text_blocks(batch.column(2)):
-                found = scored_block(memo_of(token), *sent.value, texts)
+                found = scored_block(memo_of(token), model, *sent.value, texts)
                 number = np.arange(row_id, row_id + len(texts))
                 row_id += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array(number), *[pa.array(x) if isinstance(x, np.ndarray) else x for x in found.values()]],
                     names=[id_col, "held_out", "_hz_row", *found],
                 )
+        trim()
 
     schema = (
         f"`{id_col}` {kind}, held_out boolean, _hz_row long, n_tokens long, n_often long, often_sum double, score double, n_bytes long, "
         "rare array<struct<word: binary, m: bigint>>"
     )
     scored = materialise(rows.mapInArrow(run, schema), "scored")
+    tables.destroy()
+    sent.destroy()
     rare = scored.select("_hz_row", F.explode("rare").alias("r")).select("_hz_row", "r.word", "r.m")
     met = rare.join(words.filter(~often), "word", "left")
     each = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(float(n + lower)))

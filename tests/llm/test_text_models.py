@@ -4,8 +4,10 @@ import base64
 import hashlib
 import json
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -184,6 +186,27 @@ def test_packed_counts():
     assert np.array_equal(mixing._unpack(mixing._pack(counts)), counts)
 
 
+def test_mixing_adds_counts_in_little_memory():
+    rng = np.random.default_rng(4)
+    parts = [mixing.distinct(rng.integers(1, 900_000, 300_000, dtype=np.uint64) * np.uint64(7919)) for _ in range(8)]
+    tracemalloc.start()
+    sites, n = mixing.merged(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = mixing.distinct(np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]))
+    assert np.array_equal(sites, whole[0]) and np.array_equal(n, whole[1])
+    assert peak < 1.7 * sum(x.nbytes + n.nbytes for x, n in parts)
+
+
+def test_mixing_tables_travel_compressed():
+    table = np.random.default_rng(5).integers(0, 2, mixing.PIECE + 4096).astype(np.uint8)
+    model = mixing.untrained(16, table)
+    packed = pickle.dumps(model)
+    assert len(packed) < len(table) / 2
+    got = pickle.loads(packed)
+    assert np.array_equal(got.table, table) and got.bits == 16 and all(np.array_equal(x, y) for x, y in zip(got.maps(), model.maps(), strict=True))
+
+
 def test_scoring_an_empty_table_and_clashing_columns(spark):
     assert mixing.score(_docs(spark, ["a"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(1, "a b", 3.0, "w"), (1, "a b", 4.0, "x"), (None, None, None, None)], "doc_id long, text string, score double, word string")
