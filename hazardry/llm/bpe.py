@@ -4,7 +4,7 @@ Texts are split by the vocabulary's pattern, each distinct piece is encoded once
 token, next position, next token). A step of the recursion joins them with the merge table (every pair of tokens whose
 bytes together are a token, with that token as rank), finds each word's leftmost pair of minimum rank, and contracts it;
 words without such a pair are done and leave the recursion. Rows carry their successor, so a step is hash joins and one hash
-aggregation, without a sort. Decoding is an ordered aggregation of the tokens' bytes for each text.
+aggregation, without a sort. Decoding joins all tokens of a block of texts with the vocabulary, in their order; texts are cut from the bytes by their numbers of tokens.
 
 The recursion runs in rounds of ROUND steps, since it keeps all its steps: words that are not done after a round start the next one. Its time grows with the
 square of a word's length all the same (0.3 s of a slow core for 1,024 bytes, 2.1 s for 4,096, 5.4 s for 8,192; the heap takes 0.02, 0.07 and 0.3 s), so one piece of
@@ -60,7 +60,7 @@ SELECT w, p, t, q, u, done FROM state WHERE done OR step = %d
 """
 
 DECODE = """
-SELECT d, unhex(string_agg(v.h, '' ORDER BY i.p)) AS b FROM ids i JOIN vocabulary v ON v.id = i.t GROUP BY d ORDER BY d
+SELECT coalesce(v.b, ''::BLOB) AS b FROM ids i LEFT JOIN vocabulary v ON v.id = i.t ORDER BY i.p
 """
 
 
@@ -95,7 +95,7 @@ class Codec:
         self.pair_keys, self.pair_ranks = keys[order], np.array([rank for *_, rank in pairs], np.int64)[order]
         columns = [pa.array(column, pa.int32()) for column in zip(*pairs, strict=True)] if pairs else [pa.array([], pa.int32())] * 3
         self._table("merges", pa.table(columns, names=["l", "r", "id"]))
-        self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "h": [x.hex() for x in self.ranks]}))
+        self._table("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "b": pa.array(list(self.ranks), pa.binary())}))
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
         self.pieces = TwoGenerations(self.encode_pieces, 300_000)
 
@@ -190,16 +190,16 @@ class Codec:
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
-        lengths = [len(row) // 4 for row in rows]
         tokens = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
-        ids = pa.table({"d": np.repeat(np.arange(len(rows), dtype=np.int32), lengths), "p": np.arange(len(tokens)), "t": tokens})
-        self.db.register("ids", ids)
-        found = self.db.execute(DECODE).fetchall()
+        if not len(tokens):
+            return [b""] * len(rows)
+        self.db.register("ids", pa.table({"p": np.arange(len(tokens)), "t": tokens}))
+        found = self.db.sql(DECODE).to_arrow_table()["b"].combine_chunks()
         self.db.unregister("ids")
-        out = [b""] * len(rows)
-        for d, raw in found:
-            out[d] = bytes(raw)
-        return out
+        offsets = np.frombuffer(found.buffers()[1], np.int32, len(tokens) + 1, 4 * found.offset)
+        cuts = offsets[np.r_[0, np.cumsum([len(row) // 4 for row in rows])]].tolist()
+        raw = memoryview(found.buffers()[2] or b"")
+        return [bytes(raw[at:end]) for at, end in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}

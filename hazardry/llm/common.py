@@ -191,13 +191,12 @@ class TwoGenerations:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = []  # set and dict views would walk the whole cache here
-        for key in keys:
-            if key not in young:
-                if key in old:
-                    young[key] = old[key]
-                else:
-                    missing.append(key)
+        missing = []
+        for key in keys.difference(young):  # of a dictionary, not of its view, which would walk the whole cache
+            if key in old:
+                young[key] = old[key]
+            else:
+                missing.append(key)
         if missing:
             young.update(zip(missing, self.make(missing), strict=True))
         return young

@@ -7,11 +7,13 @@ import math
 import pickle
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +249,33 @@ def test_both_contractions_agree():
     assert out == [codec.contract_long(x.encode()) for x in long]
 
 
+def test_decoding_joins_once():
+    """The bytes of an aggregation by text, in less than 0.6 of its CPU time."""
+    codec = bpe.codec_of(PATH, tokenizers.PATTERN)
+    rng = np.random.default_rng(7)
+    known = np.array(sorted(codec.ranks.values()), "<u4")
+    rows = [known[rng.integers(0, len(known), n)].tobytes() for n in (0, 1, 40_000, 0, 160_000)]
+    rows.append(np.array([0, 1 << 30, 1], "<u4").tobytes())  # an id that no token has stands for no bytes
+    db = codec.db.cursor()
+    db.register("incoming", pa.table({"id": pa.array(list(codec.ranks.values()), pa.int32()), "h": [x.hex() for x in codec.ranks]}))
+    db.execute("CREATE TEMP TABLE hexes AS SELECT * FROM incoming")
+
+    def aggregated():
+        lengths = [len(row) // 4 for row in rows]
+        tokens = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
+        db.register("ids", pa.table({"d": np.repeat(np.arange(len(rows)), lengths), "p": np.arange(len(tokens)), "t": tokens}))
+        found = dict(db.execute("SELECT d, unhex(string_agg(h, '' ORDER BY p)) FROM ids JOIN hexes ON id = t GROUP BY d").fetchall())
+        return [bytes(found.get(k, b"")) for k in range(len(rows))]
+
+    def seconds(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    assert codec.decode(rows) == aggregated() and codec.decode([]) == [] and codec.decode([b"", b""]) == [b"", b""]
+    assert min(seconds(lambda: codec.decode(rows)) for _ in range(3)) < 0.6 * min(seconds(aggregated) for _ in range(3))
+
+
 # --- chat
 
 
