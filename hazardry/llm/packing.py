@@ -47,6 +47,15 @@ MARKS = ".,;:!?#$%&*\"()+-/=@[]^_`{}~\\"
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([" + re.escape(MARKS) + "]*)")
 
 
+def plain_parts(word: str) -> tuple[str, str] | None:
+    """A plain word's Latin letters and the marks behind them."""
+    if word.isascii():
+        core = word.rstrip(MARKS)
+        return (core, word[len(core) :]) if core.isalpha() else None
+    parts = _PLAIN.fullmatch(word)
+    return None if parts is None else parts.groups()
+
+
 def _shown_bytes() -> dict[int, str]:
     """How byte-level vocabularies write a byte: printable ones as themselves, the others by the characters from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -93,17 +102,23 @@ class WordTokenizer:
         Where the normaliser and the splitter only lower the case of letters and part marks from them, plain words (Latin letters, then
         marks) go to the tokenizer's model directly, each spelling without case and marks once.
         """
-        out: list[bytes] = [b""] * len(found)
-        others, plain = [], []
-        for k, word in enumerate(found):
-            if self.lowers and (parts := _PLAIN.fullmatch(word)) is not None:
-                core, tail = parts.groups()
-                plain.append((k, core.lower(), tail))
-            else:
+        # letters alone, or with marks behind; of ASCII words that is seen without the expression
+        cores = [word.lower() if word.isascii() and word.isalpha() else None for word in found] if self.lowers else [None] * len(found)
+        others, marked = [], []
+        for k in [k for k, core in enumerate(cores) if core is None]:
+            parts = plain_parts(found[k]) if self.lowers else None
+            if parts is None:
                 others.append(k)
-        known = self.cores.of({core for _, core, _ in plain})
-        for k, core, tail in plain:
-            out[k] = known[core] + (self.tails[tail] if tail in self.tails else self.tail(tail))
+            else:
+                cores[k] = parts[0].lower()
+                if parts[1]:
+                    marked.append((k, parts[1]))
+        plain = set(cores)
+        plain.discard(None)
+        known = self.cores.of(plain)
+        out: list[bytes] = [b"" if core is None else known[core] for core in cores]
+        for k, tail in marked:
+            out[k] += self.tails[tail] if tail in self.tails else self.tail(tail)
         for at in range(0, len(others), 4096):
             part = others[at : at + 4096]
             for k, x in zip(part, self.tokenizer.encode_batch_fast([found[k] for k in part], add_special_tokens=False), strict=True):

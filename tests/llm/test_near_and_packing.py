@@ -262,6 +262,28 @@ def test_words_go_to_the_model_as_the_library_would_send_them():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ascii_words_need_no_expression(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counting:
+        words: list = []
+
+        def fullmatch(self, word):
+            self.words.append(word)
+            return plain.fullmatch(word)
+
+    plain, own, library = packing._PLAIN, packing.WordTokenizer(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    monkeypatch.setattr(packing, "_PLAIN", Counting())
+    rng = random.Random(11)
+    words = ["Plain", "words,", "(not", "a.b", "", "...", "it's", "<|endoftext|>", "é", "Éa!", "ªb", "x1", "Straße?!", "日", "aA)"]
+    words += ["".join(rng.choice("abZéÖ.,'<|1ªµ") for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    for word, ids in zip(words, own.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+        parts = plain.fullmatch(word)
+        assert packing.plain_parts(word) == (parts and parts.groups())
+    assert Counting.words and not any(word.isascii() for word in Counting.words)
+
+
 def test_pack(spark):
     texts = [None, "", "Hello  wOrld\n\tit's", "a\x1cb ́e ﬁ ΣΑΣ <|endoftext|>", "x<|startoftext|> a <|endoftext|>y <| endoftext|>", "word " * 9000, "x" * 3000, *_corpus()]
     _check_packed(packing.pack(_docs(spark, texts), VOCABULARY).collect(), texts)
